@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestar import constants as C
 from lodestar.functions import events as E
+from lodestar.sources.storage import ship_package
 
 NOW = "2024-01-31 00:00:00"
 HOLDOUT_START = "2024-01-24 00:00:00"
@@ -42,6 +43,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ship_package(spark)
         self.spark = spark
         self.folder = folder.rstrip("/")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -31,9 +33,24 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise to reliable storage so that lost executors do not replay the plan."""
-    sc = df.sparkSession.sparkContext
-    folder = shared_folder(df.sparkSession)
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    """Write to the shared folder and read back.
+
+    Lost executors then re-read files instead of replaying the plan. A Parquet
+    table is computed once, where ``checkpoint()`` computes an uncached plan
+    twice, and its columns are pruned by later reads.
+    """
+    path = new_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers (once per application)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lodestar_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    archive = os.path.join(tempfile.mkdtemp(prefix="lodestar-"), "lodestar")
+    # The driver serves this small archive to the executors.
+    sc.addPyFile(shutil.make_archive(archive, "zip", root, "lodestar"))
+    sc._lodestar_shipped = True
