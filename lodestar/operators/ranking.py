@@ -114,7 +114,7 @@ def adjusted_score(candidates: DataFrame, now: Column) -> DataFrame:
     fresh = F.coalesce(age <= C.NEW_ITEM_HOURS, F.lit(False))
     score = F.col("score") * F.when(F.col("seen"), C.SEEN_PENALTY).otherwise(1.0)
     boosted = F.when(fresh, score * C.FRESHNESS_BOOST).otherwise(score)
-    return candidates.withColumns({"score": F.round(boosted, 6), "freshness_boosted": fresh})
+    return candidates.withColumns({"score": F.round(boosted, 9), "freshness_boosted": fresh})
 
 
 def rerank_adjust(candidates: DataFrame, now: Column) -> DataFrame:
@@ -138,7 +138,7 @@ def _mmr_picks(ids, relevance, has_vector, matrix, n: int, weight: float) -> np.
     nearest = None
     picks = []
     for _ in range(min(n, len(known))):
-        gain = rel if nearest is None else np.round(weight * rel - (1 - weight) * nearest, 6)
+        gain = rel if nearest is None else np.round(weight * rel - (1 - weight) * nearest, 9)
         best = int(np.argmax(np.where(free, gain, -np.inf)))
         picks.append(known[best])
         free[best] = False

@@ -51,6 +51,32 @@ def shared_lists(
     )
 
 
+def candidates_of(
+    vectors: DataFrame,
+    users: DataFrame,
+    items: DataFrame,
+    exploration: DataFrame,
+    trending: DataFrame,
+    depth: int,
+) -> DataFrame:
+    """Candidate rows per user in table form."""
+    retrieved = retrieval.vector_topk(vectors, features.embedded_items(items), depth)
+    return retrieval.candidate_union(retrieved, users, exploration, trending)
+
+
+def candidate_features(
+    found: DataFrame, interactions: DataFrame, items: DataFrame, now: Column
+) -> DataFrame:
+    return ranking.ranking_features(
+        found,
+        items,
+        features.category_affinity(interactions, items),
+        features.item_ctr(interactions),
+        features.relative_popularity(interactions),
+        now,
+    )
+
+
 def item_profiles(interactions: DataFrame, items: DataFrame, now: Column) -> DataFrame:
     """Everything the ranking of an item needs, from one pass over the events."""
     kind = F.col("event_type")

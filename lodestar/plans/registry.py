@@ -37,13 +37,16 @@ def query(name: str, oracle: str | None = None) -> Callable[[Builder], Builder]:
 def expand(sql: str) -> str:
     """Prefix the views that the text mentions, in dependency order."""
     ordered: list[str] = []
+    open_views: set[str] = set()
 
     def visit(text: str) -> None:
         for view, body in VIEWS.items():
-            if view not in ordered and re.search(rf"\b{view}\b", text):
+            if view in ordered or view in open_views:
+                continue
+            if re.search(rf"\b(?:FROM|JOIN)\s+{view}\b", text):
+                open_views.add(view)  # a recursive view mentions itself
                 visit(body)
-                if view not in ordered:
-                    ordered.append(view)
+                ordered.append(view)
 
     visit(sql)
     parts = re.split(r"^\s*---\s*$", sql, flags=re.M)
