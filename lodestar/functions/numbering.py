@@ -88,3 +88,30 @@ def weighted_below(
         .withColumn("below", F.col("_local") + F.col("_before_w"))
         .drop("_slice", "_local", "_before_w")
     )
+
+
+def exact_quantiles(
+    counts: DataFrame, groups: Sequence[str], value: str, weight: str, quantiles: dict[str, float]
+) -> DataFrame:
+    """Interpolated quantiles per group from (group, value, weight) counts.
+
+    Unlike ``percentile``, no task holds all distinct values of a group.
+    """
+    ranked = weighted_below(counts, groups, value, weight)
+    totals = counts.groupBy(*groups).agg(F.sum(weight).alias("_total"))
+    placed = ranked.join(totals, list(groups))
+    first, last = F.col("below"), F.col("below") + F.col(weight)
+    picks = []
+    for name, q in quantiles.items():
+        position = F.lit(q) * (F.col("_total") - 1)
+        for end, at in (("lo", F.floor(position)), ("hi", F.ceil(position))):
+            hit = (first <= at) & (at < last)
+            picks.append(F.max(F.when(hit, F.col(value))).alias(f"_{name}_{end}"))
+    found = placed.groupBy(*groups, "_total").agg(*picks)
+
+    def between(name: str, q: float) -> Column:
+        position = F.lit(q) * (F.col("_total") - 1)
+        low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+        return (low + (high - low) * (position - F.floor(position))).alias(name)
+
+    return found.select(*groups, F.col("_total").alias("n"), *[between(n, q) for n, q in quantiles.items()])

@@ -7,26 +7,23 @@ from pyspark.sql import functions as F
 
 from lodestar import constants as C
 from lodestar.functions import events as E
+from lodestar.functions.numbering import exact_quantiles
 from lodestar.operators.ingest import window_index
 
 
-def latency_quantiles(requests: DataFrame, seconds: int = 300) -> DataFrame:
-    """Exact p50, p95 and p99 per time slot.
+_QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
 
-    ``percentile`` keeps a count per distinct value and merges partial maps,
-    so repeated values do not grow the state.
-    """
+def latency_quantiles(requests: DataFrame, seconds: int = 300) -> DataFrame:
+    """Exact p50, p95 and p99 per time slot."""
     slot = window_index(F.col("created_at"), seconds).alias("slot")
-    latency = F.col("latency_ms")
-    return requests.groupBy(slot).agg(
-        F.count("*").alias("requests"),
-        *[F.round(F.percentile(latency, q), 6).alias(n) for n, q in _QUANTILES.items()],
+    counts = requests.groupBy(slot, "latency_ms").agg(F.count("*").alias("n"))
+    found = exact_quantiles(counts, ["slot"], "latency_ms", "n", _QUANTILES)
+    return found.select(
+        "slot", F.col("n").alias("requests"), *[F.round(n, 6).alias(n) for n in _QUANTILES]
     )
 
 
-_QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
-
-
 def latency_quantiles_approx(requests: DataFrame, seconds: int = 300) -> DataFrame:
     """The same with bounded state, for very long slots."""
     slot = window_index(F.col("created_at"), seconds).alias("slot")
@@ -54,10 +51,12 @@ def cumulative_histogram(rows: DataFrame, value: Column, bounds: list[float], ou
 def canary_gate(requests: DataFrame) -> DataFrame:
     """Whether the canary model must be rolled back against the baseline."""
     kind = F.col("event_type")
-    per_model = requests.groupBy("model_version").agg(
-        E.safe_ratio(F.count_if(kind == "click"), F.count_if(E.is_impression(kind))).alias("ctr"),
-        F.percentile("latency_ms", 0.99).alias("p99"),
+    rates = requests.groupBy("model_version").agg(
+        E.safe_ratio(F.count_if(kind == "click"), F.count_if(E.is_impression(kind))).alias("ctr")
     )
+    counts = requests.groupBy("model_version", "latency_ms").agg(F.count("*").alias("n"))
+    tails = exact_quantiles(counts, ["model_version"], "latency_ms", "n", {"p99": 0.99})
+    per_model = rates.join(tails, "model_version")
 
     def of(model: str, column: str) -> Column:
         return F.max(F.when(F.col("model_version") == model, F.col(column)))

@@ -25,12 +25,16 @@ GRID = 16
 SCORE_SCALE = 1_000_000
 
 
-def _pack(df: DataFrame, key: str, by: str | None, rows: int, unit: bool) -> DataFrame:
-    """One row per block: the ids and the float64 matrix as bytes."""
+def _pack(
+    df: DataFrame, key: str, by: str | None, rows: int, unit: bool, skip: str | None = None
+) -> DataFrame:
+    """One row per block: ids, the float64 matrix as bytes, lists of ids to skip."""
     id_type = df.schema[key].dataType.simpleString()
     by_type = df.schema[by].dataType.simpleString() if by else "int"
     columns = [F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("v")]
     columns.append(F.col(by).alias("part") if by else F.lit(0).alias("part"))
+    skip_type = df.schema[skip].dataType.simpleString() if skip else "array<int>"
+    columns.append((F.col(skip) if skip else F.lit(None).cast(skip_type)).alias("skip"))
 
     def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -41,29 +45,44 @@ def _pack(df: DataFrame, key: str, by: str | None, rows: int, unit: bool) -> Dat
                     if unit:
                         matrix = matrix / (np.linalg.norm(matrix, axis=1, keepdims=True) + V.EPSILON)
                     ids = chunk["id"].to_numpy()
+                    skips = [() if s is None else s for s in chunk["skip"]] if skip else None
                     yield pd.DataFrame(
-                        {"part": [part], "ids": [ids], "block": [str(ids[0])], "m": [matrix.tobytes()]}
+                        {
+                            "part": [part],
+                            "ids": [ids],
+                            "block": [str(ids[0])],
+                            "m": [matrix.tobytes()],
+                            "skips": [skips],
+                        }
                     )
 
-    schema = f"part {by_type}, ids array<{id_type}>, block string, m binary"
+    schema = f"part {by_type}, ids array<{id_type}>, block string, m binary, skips array<{skip_type}>"
     return df.filter(F.col("embedding").isNotNull()).select(*columns).mapInPandas(blocks, schema)
 
 
-def _block_topk(query_ids, query_matrix, item_ids, item_matrix, k: int):
+_NEVER = np.iinfo(np.int64).max
+
+
+def _block_topk(query_ids, query_matrix, item_ids, item_matrix, skips, k: int):
     """Best k items of a block for each query, by (rounded score desc, id asc)."""
     scores = np.rint(query_matrix @ item_matrix.T * SCORE_SCALE).astype(np.int64)
     n = len(item_ids)
     # Items are sorted by id, so one integer orders by score first, then id.
     order_key = np.arange(n) - scores * n
+    if skips is not None:
+        for row, unwanted in enumerate(skips):
+            if len(unwanted):
+                order_key[row, np.isin(item_ids, unwanted)] = _NEVER
     if k < n:
         best = np.argpartition(order_key, k - 1, axis=1)[:, :k]
     else:
         best = np.broadcast_to(np.arange(n), (len(query_ids), n))
-    picked = np.take_along_axis(scores, best, axis=1)
+    wanted = np.take_along_axis(order_key, best, axis=1).ravel() != _NEVER
+    picked = np.take_along_axis(scores, best, axis=1).ravel()
     return (
-        np.repeat(query_ids, best.shape[1]),
-        item_ids[best.ravel()],
-        picked.ravel() / SCORE_SCALE,
+        np.repeat(query_ids, best.shape[1])[wanted],
+        item_ids[best.ravel()][wanted],
+        picked[wanted] / SCORE_SCALE,
     )
 
 
@@ -75,10 +94,13 @@ def vector_topk(
     item_key: str = "item_id",
     by: str | None = None,
     unit: bool = True,
+    skip: str | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Exact top-k items per query by cosine (``unit``) or dot product.
 
+    ``skip`` names an array column of the queries with items to leave out.
+
     With ``by`` both sides carry that column and only equal values meet. The
     item side is broadcast when its counted size allows; otherwise query and
     item blocks are spread over a GRID x GRID of cells, so that each side is
@@ -87,8 +109,8 @@ def vector_topk(
     spark = queries.sparkSession
     query_type = queries.schema[query_key].dataType.simpleString()
     item_type = items.schema[item_key].dataType.simpleString()
-    q = _pack(queries, query_key, by, QUERY_BLOCK, unit)
-    i = _pack(items, item_key, by, ITEM_BLOCK, unit).withColumnsRenamed(
+    q = _pack(queries, query_key, by, QUERY_BLOCK, unit, skip)
+    i = _pack(items, item_key, by, ITEM_BLOCK, unit).drop("skips").withColumnsRenamed(
         {"ids": "item_ids", "m": "item_m", "block": "item_block"}
     )
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -107,12 +129,12 @@ def vector_topk(
                 left = np.frombuffer(row.m).reshape(len(row.ids), -1)
                 right = np.frombuffer(row.item_m).reshape(len(row.item_ids), -1)
                 ids, found, scores = _block_topk(
-                    np.asarray(row.ids), left, np.asarray(row.item_ids), right, k
+                    np.asarray(row.ids), left, np.asarray(row.item_ids), right, row.skips, k
                 )
                 yield pd.DataFrame({"q": ids, "i": found, "score": scores})
 
     schema = f"q {query_type}, i {item_type}, score double"
-    partial = pairs.select("ids", "m", "item_ids", "item_m").mapInPandas(multiply, schema)
+    partial = pairs.select("ids", "m", "skips", "item_ids", "item_m").mapInPandas(multiply, schema)
     found = partial.select(F.col("q").alias(query_key), F.col("i").alias(item_key), "score")
     return best_per_key(found, [query_key], k, item_key)
 

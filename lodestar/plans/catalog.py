@@ -4,6 +4,7 @@ from lodestar.plans import (  # noqa: F401
     event_queries,
     experiment_queries,
     feature_queries,
+    model_queries,
     ranking_queries,
 )
 from lodestar.plans.registry import all_oracles, all_queries
