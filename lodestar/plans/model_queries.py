@@ -450,7 +450,7 @@ def attributed(t: Tables):
 @query(
     "feature_attribution",
     "SELECT user_id, item_id, "
-    + ", ".join(f"round(c_{n}, 6) AS c_{n}" for n in C.RANKING_FEATURES)
+    + ", ".join(f"round(c_{n}, 6) + 0.0 AS c_{n}" for n in C.RANKING_FEATURES)
     + " FROM attributed",
 )
 def _(t: Tables):
@@ -483,8 +483,8 @@ def _(t: Tables):
 @query(
     "developer_attribution",
     """
-SELECT a.user_id, a.item_id, a.rank::INTEGER AS rank, 'v1' AS model_version, round(c_popularity_score, 6) AS popularity,
-  round(c_user_item_dot_product, 6) AS dot, s.top
+SELECT a.user_id, a.item_id, a.rank::INTEGER AS rank, 'v1' AS model_version, round(c_popularity_score, 6) + 0.0 AS popularity,
+  round(c_user_item_dot_product, 6) + 0.0 AS dot, s.top
 FROM attributed a JOIN (SELECT user_id, item_id, string_agg(feature, ',' ORDER BY pos) AS top FROM strongest
   WHERE pos <= 5 GROUP BY ALL) s ON s.user_id = a.user_id AND s.item_id = a.item_id
 """,

@@ -72,7 +72,7 @@ def compare(df, con: duckdb.DuckDBPyConnection, sql: str) -> list[str]:
 def _same(a: tuple, b: tuple) -> bool:
     for x, y in zip(a, b):
         if isinstance(x, float) and isinstance(y, float):
-            if x != y and not (math.isnan(x) and math.isnan(y)):
+            if repr(x) != repr(y) and not (math.isnan(x) and math.isnan(y)):
                 return False
         elif x != y:
             return False
