@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.sources.storage import cut_lineage
+
 SLICES = 64
 
 
@@ -75,6 +77,13 @@ def weighted_below(
 
     ``counts`` holds one row per (group, value).
     """
+    # Read three times (quantiles, slice totals, rows), so computed once.
+    return _below(cut_lineage(counts), groups, value, weight, slices)
+
+
+def _below(
+    counts: DataFrame, groups: Sequence[str], value: str, weight: str, slices: int
+) -> DataFrame:
     sliced = quantile_slice(counts, value, slices)
     offsets = _offsets(sliced, groups, {"w": F.col(weight)})
     before = (
@@ -97,7 +106,8 @@ def exact_quantiles(
 
     Unlike ``percentile``, no task holds all distinct values of a group.
     """
-    ranked = weighted_below(counts, groups, value, weight)
+    counts = cut_lineage(counts)
+    ranked = _below(counts, groups, value, weight, SLICES)
     totals = counts.groupBy(*groups).agg(F.sum(weight).alias("_total"))
     placed = ranked.join(totals, list(groups))
     first, last = F.col("below"), F.col("below") + F.col(weight)

@@ -37,11 +37,11 @@ def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
-def vector_sum(vector: Column, dim: int, weight: Column | None = None) -> Column:
-    """Aggregate: (weighted) element-wise sum of vectors as an array.
+def vector_sum(vector: str, dim: int, weight: str = "1.0D") -> Column:
+    """Aggregate: (weighted) element-wise sum of a vector column as an array.
 
     ``dim`` plain ``sum`` aggregates combine on the map side and shuffle one
     row per key; exploding positions would shuffle ``dim`` rows per vector.
     """
-    w = F.lit(1.0) if weight is None else weight
-    return F.array(*[F.sum(vector[i].cast("double") * w) for i in range(dim)])
+    sums = ", ".join(f"sum(cast({vector}[{i}] as double) * {weight})" for i in range(dim))
+    return F.expr(f"array({sums})")

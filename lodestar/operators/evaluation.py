@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import events as E
 from lodestar.functions import vectors as V
 from lodestar.functions.numbering import weighted_below
+from lodestar.sources.storage import cut_lineage
 
 
 def mark_relevance(lists: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ def diversity(rows: DataFrame, items: DataFrame, groups: list[str], dim: int) ->
     joined = counted.join(unit, "item_id")
     own = F.sum(F.col("times") * V.dot(F.col("unit"), F.col("unit")))
     sums = joined.groupBy(*groups).agg(
-        V.vector_sum(F.col("unit"), dim, F.col("times")).alias("total"),
+        V.vector_sum("unit", dim, "times").alias("total"),
         own.alias("own"),
         F.sum("times").alias("n"),
     )
@@ -91,7 +92,11 @@ def diversity(rows: DataFrame, items: DataFrame, groups: list[str], dim: int) ->
 
 
 def evaluation_report(lists: DataFrame, items: DataFrame, dim: int, k: int = 10) -> DataFrame:
-    """AUC, NDCG, MRR, coverage and mean intra-list diversity per approach."""
+    """AUC, NDCG, MRR, coverage and mean intra-list diversity per approach.
+
+    The lists feed five metrics, so they are stored once.
+    """
+    lists = cut_lineage(lists)
     scored = lists.select("approach", (1.0 / F.col("rank")).alias("score"), F.col("relevance").alias("label"))
     spread = diversity(lists, items, ["approach", "user_id"], dim)
     parts = [
@@ -113,7 +118,7 @@ def replay_summary(lists: DataFrame, outcomes: DataFrame, items: DataFrame, dim:
     ``outcomes`` holds (user_id, item_id, clicks, dwell_ms); an impression
     counts as clicked when the user clicked that item in the replayed period.
     """
-    shown = lists.select("approach", "user_id", "item_id")
+    shown = cut_lineage(lists.select("approach", "user_id", "item_id"))
     joined = shown.join(outcomes, ["user_id", "item_id"], "left")
     clicked = F.coalesce((F.col("clicks") > 0).cast("int"), F.lit(0))
     per_user = joined.groupBy("approach", "user_id").agg(

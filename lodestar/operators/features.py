@@ -164,6 +164,11 @@ def recent_items(
     if since is not None:
         interactions = interactions.filter(F.col("created_at") > since)
     latest = interactions.groupBy("user_id", "item_id").agg(F.max("created_at").alias("touched_at"))
+    return latest_items(latest, limit)
+
+
+def latest_items(latest: DataFrame, limit: int = C.RECENT_ITEMS_LIMIT) -> DataFrame:
+    """The same from (user_id, item_id, touched_at) rows."""
     order = Window.partitionBy("user_id").orderBy(F.desc("touched_at"), "item_id")
     return latest.withColumn("position", F.row_number().over(order)).filter(
         F.col("position") <= limit
@@ -196,13 +201,41 @@ def merge_metadata(base: Column, update: Column) -> Column:
     return F.map_concat(kept, update)
 
 
+def touches(
+    interactions: DataFrame, now: Column, horizon_seconds: int = C.TRENDING_HORIZON_SECONDS
+) -> DataFrame:
+    """One row per (user, item): all that profiles need, from one scan of the events.
+
+    Signal sums are multiples of 0.25, so they are exact in any order.
+    """
+    kind = F.col("event_type")
+    weight = E.signal_weight(kind)
+    positive = F.when(weight > 0, weight).otherwise(0.0)
+    live = (F.col("created_at") > E.ago(now, horizon_seconds)) & (F.col("created_at") <= now)
+    return interactions.groupBy("user_id", "item_id").agg(
+        F.count("*").alias("n"),
+        F.sum(weight).alias("w"),
+        F.sum(positive).alias("signal"),
+        F.sum(F.when(live, positive).otherwise(0.0)).alias("trending"),
+        F.count_if(kind == "click").alias("clicks"),
+        F.count_if(E.is_impression(kind)).alias("impressions"),
+        F.max("created_at").alias("touched_at"),
+    )
+
+
 def category_affinity(interactions: DataFrame, items: DataFrame) -> DataFrame:
     """Share of each category in a user's positive signal."""
     weight = E.signal_weight(F.col("event_type"))
     positive = interactions.filter(weight > 0)
     per_item = positive.groupBy("user_id", "item_id").agg(F.sum(weight).alias("signal"))
+    return affinity_of(per_item, items)
+
+
+def affinity_of(per_item: DataFrame, items: DataFrame) -> DataFrame:
+    """The same from (user_id, item_id, signal) rows."""
     per_category = (
-        per_item.join(items.select("item_id", "category"), "item_id")
+        per_item.filter("signal > 0")
+        .join(items.select("item_id", "category"), "item_id")
         .groupBy("user_id", "category")
         .agg(F.sum("signal").alias("signal"))
     )
@@ -221,11 +254,17 @@ def user_embeddings(interactions: DataFrame, items: DataFrame, dim: int) -> Data
     touched = interactions.groupBy("user_id", "item_id").agg(
         F.sum(weight).alias("w"), F.count("*").alias("n")
     )
+    return embeddings_of(touched, items, dim)
+
+
+def embeddings_of(touched: DataFrame, items: DataFrame, dim: int) -> DataFrame:
+    """The same from (user_id, item_id, w, n) rows."""
     vectors = embedded_items(items).select("item_id", "embedding")
     summed = (
-        touched.join(vectors, "item_id")
+        touched.select("user_id", "item_id", "w", "n")
+        .join(vectors, "item_id")
         .groupBy("user_id")
-        .agg(V.vector_sum(F.col("embedding"), dim, F.col("w")).alias("total"), F.sum("n").alias("n"))
+        .agg(V.vector_sum("embedding", dim, "w").alias("total"), F.sum("n").alias("n"))
     )
     count = F.col("n")
     mean = F.transform("total", lambda x: x / count)

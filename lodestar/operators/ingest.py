@@ -119,7 +119,7 @@ def _fold_small(times: DataFrame, ttl: int) -> DataFrame:
     return (
         times.groupBy("event_id")
         .agg(sorted_times.alias("ts"))
-        .select("event_id", F.explode(F.aggregate("ts", start, step)).alias("micros"))
+        .select("event_id", F.explode_outer(F.aggregate("ts", start, step)).alias("micros"))
         .select("event_id", F.timestamp_micros("micros").cast("timestamp_ntz").alias("created_at"))
     )
 

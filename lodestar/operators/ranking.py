@@ -298,7 +298,8 @@ def bandit_picks(
     listed = lists.select("user_id", F.col("r.item_id").alias("randoms"), F.col("b.item_id").alias("bests"))
     return (
         slot_picks(listed, slots, epsilon, seed)
-        .select("user_id", F.posexplode("picks").alias("pos", "item_id"))
+        .select("user_id", F.posexplode_outer("picks").alias("pos", "item_id"))
+        .filter(F.col("item_id").isNotNull())
         .select("user_id", (F.col("pos") + 1).alias("slot"), "item_id")
     )
 
@@ -386,8 +387,10 @@ def random_recommend(
     shuffled = F.array_sort(
         F.transform(subset, lambda i: F.struct(H.hash_uniform(seed, F.lit("order"), F.col("user_id"), i), i.alias("i")))
     )
+    # The outer form infers no "not empty" filter, which the optimizer would
+    # push, with the whole draw, below the aggregation that made the users.
     drawn = sized.withColumn("_drawn", shuffled).select(
-        "user_id", F.posexplode(F.col("_drawn").getField("i")).alias("pos", "index")
+        "user_id", F.posexplode_outer(F.col("_drawn").getField("i")).alias("pos", "index")
     )
     numbered = global_row_number(catalogue.select("item_id"), "item_id", "n")
     located = numbered.select("item_id", (F.col("n") - 1).alias("index"))

@@ -212,7 +212,8 @@ def hyperplane_cells(
         return pd.Series(out)
 
     known = vectors.filter(F.col("embedding").isNotNull())
-    return known.withColumn("cell", F.explode(cells("embedding")))
+    # Outer: an inferred "not empty" filter would run the UDF a second time.
+    return known.withColumn("cell", F.explode_outer(cells("embedding")))
 
 
 def vector_topk_lsh(

@@ -21,6 +21,7 @@ from lodestar.functions import vectors as V
 from lodestar.functions.numbering import global_row_number, hash_positions
 from lodestar.operators import features
 from lodestar.operators.retrieval import vector_topk
+from lodestar.sources.storage import cut_lineage
 
 # Factor matrices that a driver-side SVD may hold.
 SVD_BYTES = 512 * 1024 * 1024
@@ -81,7 +82,7 @@ def shown_negatives(
     positives are never paired in full. Pools smaller than ``ratio`` are
     completed with uniform negatives.
     """
-    pool = shown_not_clicked(impressions)
+    pool = cut_lineage(shown_not_clicked(impressions))
     u = H.hash_uniform(seed, F.col("user_id"), F.col("day"), F.col("item_id"))
     placed = hash_positions(pool, ["user_id", "day"], u, ["item_id"], "position")
     sizes = pool.groupBy("user_id", "day").agg(F.count("*").alias("size"))
@@ -224,7 +225,7 @@ def online_vector_update(
     gradients = (
         per_item.join(item_vectors, "item_id")
         .groupBy("user_id")
-        .agg(V.vector_sum(F.col("embedding"), dim, F.col("c")).alias("g"), F.sum("n").alias("n"))
+        .agg(V.vector_sum("embedding", dim, "c").alias("g"), F.sum("n").alias("n"))
     )
     rate = F.lit(learning_rate) / F.col("n")
     stepped = F.zip_with(V.as_double(F.col("embedding")), "g", lambda x, g: x - rate * g)

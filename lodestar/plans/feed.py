@@ -24,10 +24,13 @@ class FeedSettings:
     experiment: str = "two_tower_v1_vs_baseline"
 
 
+def with_vectors(rows: DataFrame) -> DataFrame:
+    """Rows of users that get a vector: every tenth user goes without, as new users do."""
+    return rows.filter(F.col("user_id") % 10 != 7)
+
+
 def learned_embeddings(interactions: DataFrame, items: DataFrame, dim: int) -> DataFrame:
-    """User vectors; every tenth user is left without one, as new users are."""
-    known = interactions.filter(F.col("user_id") % 10 != 7)
-    return features.user_embeddings(known, items, dim)
+    return features.user_embeddings(with_vectors(interactions), items, dim)
 
 
 def ranked_positions(scores: DataFrame, order: list[Column], n: int) -> DataFrame:
@@ -77,43 +80,66 @@ def candidate_features(
     )
 
 
-def item_profiles(interactions: DataFrame, items: DataFrame, now: Column) -> DataFrame:
-    """Everything the ranking of an item needs, from one pass over the events."""
-    kind = F.col("event_type")
-    weight = E.signal_weight(kind)
-    shown = F.count_if(E.is_impression(kind))
-    stats = interactions.groupBy("item_id").agg(
-        F.count("*").alias("n"),
-        E.safe_ratio(F.count_if(kind == "click"), shown).alias("ctr"),
-        F.round(F.avg(weight), 6).alias("mean_reward"),
+def item_stats(touches: DataFrame, items: DataFrame) -> DataFrame:
+    """Counters of every catalogue item, from the pre-aggregated touches."""
+    stats = touches.groupBy("item_id").agg(
+        F.sum("n").alias("n"),
+        F.sum("impressions").alias("impressions"),
+        E.safe_ratio(F.sum("clicks"), F.sum("impressions")).alias("ctr"),
+        F.round(F.sum("w") / F.sum("n"), 6).alias("mean_reward"),
+        F.sum("trending").alias("trending"),
+    )
+    return items.select("item_id").join(stats, "item_id", "left")
+
+
+def shared_lists_of(stats: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(exploration list, trending list, trending flags) from item counters."""
+    draw = H.hash_uniform("explore", F.col("item_id"))
+    cold = F.coalesce("impressions", F.lit(0)) < C.ITEM_COLD_START_IMPRESSIONS
+    exploration = stats.filter(cold & (draw < C.FORCED_EXPLORATION_RATE)).select(
+        "item_id", draw.alias("draw")
+    )
+    trending = stats.filter("trending > 0").select("item_id", F.col("trending").alias("score"))
+    return (
+        ranked_positions(exploration, [F.col("draw"), F.col("item_id")], C.EXPLORATION_CANDIDATES),
+        ranked_positions(trending, [F.desc("score"), F.col("item_id")], C.TRENDING_CANDIDATES),
+        features.trending_flags(trending),
     )
+
+
+def item_profiles(stats: DataFrame, items: DataFrame, flags: DataFrame, now: Column) -> DataFrame:
+    """What the ranking of an item needs, with its vector."""
     top = stats.agg(F.max("n")).scalar()
     zero = F.lit(0.0)
-    return items.join(stats, "item_id", "left").select(
-        "item_id",
-        "category",
-        "embedding",
-        "created_at",
-        "mean_reward",
-        E.freshness(F.col("created_at"), now).alias("freshness"),
-        F.coalesce("ctr", zero).alias("ctr"),
-        F.coalesce(F.col("n") / top, zero).alias("popularity"),
+    return (
+        items.join(stats, "item_id", "left")
+        .join(flags.select("item_id", "is_trending"), "item_id", "left")
+        .select(
+            "item_id",
+            "category",
+            "embedding",
+            "created_at",
+            "mean_reward",
+            "is_trending",
+            E.freshness(F.col("created_at"), now).alias("freshness"),
+            F.coalesce("ctr", zero).alias("ctr"),
+            F.coalesce(F.col("n") / top, zero).alias("popularity"),
+        )
     )
 
 
 def user_profiles(
-    interactions: DataFrame, items: DataFrame, users: DataFrame, dim: int
+    touches: DataFrame, items: DataFrame, users: DataFrame, dim: int
 ) -> DataFrame:
     """One row per user: vector, cold flag, affinity by category, recent items."""
-    learned = learned_embeddings(interactions, items, dim)
-    affinity = features.category_affinity(interactions, items).groupBy("user_id").agg(
+    learned = features.embeddings_of(with_vectors(touches), items, dim)
+    affinity = features.affinity_of(touches, items).groupBy("user_id").agg(
         F.map_from_entries(F.collect_list(F.struct("category", "affinity"))).alias("affinity")
     )
-    recent = features.recent_items(interactions).groupBy("user_id").agg(
-        F.collect_list("item_id").alias("recent")
-    )
+    recent = features.latest_items(touches.select("user_id", "item_id", "touched_at"))
+    seen = recent.groupBy("user_id").agg(F.collect_list("item_id").alias("recent"))
     vectors = features.serving_embeddings(users, learned, dim)
-    return vectors.join(affinity, "user_id", "left").join(recent, "user_id", "left")
+    return vectors.join(affinity, "user_id", "left").join(seen, "user_id", "left")
 
 
 def packed_candidates(
@@ -156,18 +182,17 @@ def personalized_feed(
 ) -> DataFrame:
     """(user_id, rank, item_id, score, category, flags, variant) for every user.
 
-    User profiles are a stored table (they are refreshed apart from requests).
-    After retrieval each user's candidates live in one partition: ranking,
-    diversity, exploration and the category cap add no further shuffle as long
-    as the item profiles are small enough for Spark to broadcast.
+    The events are scanned once, into (user, item) touches; profiles of users
+    and counters of items are derived from these and stored, as they are
+    refreshed apart from requests. After retrieval each user's candidates live
+    in one partition: ranking, diversity, exploration and the category cap work
+    on one packed row per user.
     """
-    exploration, trending, flags = shared_lists(
-        interactions, items, now, settings.trending_horizon_seconds
-    )
-    profiles = cut_lineage(user_profiles(interactions, items, users, settings.dim))
-    catalogue = item_profiles(interactions, items, now).join(
-        flags.select("item_id", "is_trending"), "item_id", "left"
-    )
+    touches = cut_lineage(features.touches(interactions, now, settings.trending_horizon_seconds))
+    stats = cut_lineage(item_stats(touches, items))
+    profiles = cut_lineage(user_profiles(touches, items, users, settings.dim))
+    exploration, trending, flags = shared_lists_of(stats)
+    catalogue = item_profiles(stats, items, flags, now)
     found = packed_candidates(profiles, items, exploration, trending, settings.depth)
     joined = found.join(catalogue, "item_id", "left")
     affinity = F.coalesce(F.element_at("affinity", F.col("category")), F.lit(0.0))
