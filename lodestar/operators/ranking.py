@@ -101,7 +101,8 @@ def seen_flags(candidates: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def exclude_seen(candidates: DataFrame, seen: DataFrame) -> DataFrame:
-    return candidates.join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    pairs = seen.select("user_id", "item_id").distinct()
+    return candidates.join(pairs, ["user_id", "item_id"], "left_anti")
 
 
 def candidate_attributes(candidates: DataFrame, items: DataFrame) -> DataFrame:

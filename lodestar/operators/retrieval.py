@@ -2,7 +2,8 @@
 
 Vectors are packed into blocks of rows; a block of queries meets a block of
 items in one NumPy product inside a task, and only the best k of each pair of
-blocks leave it. No pair of single rows is ever materialised.
+blocks leave it. No pair of single rows is ever materialised. Spark bounds an
+Arrow batch by bytes as well as rows, so packed rows do not pile up in memory.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from lodestar import constants as C
 from lodestar.functions import vectors as V
 
+# Least rows of a query block; full Arrow batches are cut into eight blocks, so
+# that big inputs re-read the item matrix less often.
 QUERY_BLOCK = 256
 ITEM_BLOCK = 4096
 # Item matrices up to this size are broadcast; larger ones meet on a grid.
@@ -38,9 +41,10 @@ def _pack(
 
     def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            size = max(rows, len(frame) // 8)
             for part, group in frame.groupby("part", sort=False):
-                for start in range(0, len(group), rows):
-                    chunk = group.iloc[start : start + rows].sort_values("id")
+                for start in range(0, len(group), size):
+                    chunk = group.iloc[start : start + size].sort_values("id")
                     matrix = np.stack(chunk["v"].to_numpy())
                     if unit:
                         matrix = matrix / (np.linalg.norm(matrix, axis=1, keepdims=True) + V.EPSILON)

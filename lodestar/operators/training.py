@@ -62,10 +62,12 @@ def uniform_negatives(
 
 
 def shown_not_clicked(impressions: DataFrame) -> DataFrame:
-    """(user_id, day, item_id) shown without a click."""
-    clicked = impressions.filter("clicked = 1").select("user_id", "day", "item_id")
-    shown = impressions.select("user_id", "day", "item_id")
-    return shown.join(clicked, ["user_id", "day", "item_id"], "left_anti")
+    """(user_id, day, item_id) shown without a click.
+
+    Impressions hold one row per (user, day, item) with its click flag, so the
+    difference of the two sets is a filter.
+    """
+    return impressions.filter("clicked = 0").select("user_id", "day", "item_id")
 
 
 def shown_negatives(
