@@ -61,7 +61,12 @@ def _pack(
                     )
 
     schema = f"part {by_type}, ids array<{id_type}>, block string, m binary, skips array<{skip_type}>"
-    return df.filter(F.col("embedding").isNotNull()).select(*columns).mapInPandas(blocks, schema)
+    known = df.filter(F.col("embedding").isNotNull()).select(*columns)
+    if by:
+        # Bring a part's rows together so that its blocks fill up; the salt
+        # spreads a crowded part over several tasks.
+        known = known.repartition("part", F.pmod(F.hash("id"), F.lit(GRID))).sortWithinPartitions("part")
+    return known.mapInPandas(blocks, schema)
 
 
 _NEVER = np.iinfo(np.int64).max

@@ -19,14 +19,14 @@ def scan_training_frame(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_training_snapshot(df: DataFrame, path: str, ts: str = "created_at") -> None:
-    """Write one folder per day.
-
-    Rows are spread by (day, hash) so that one busy day is not one task; the
-    number of files per day follows from the number of shuffle partitions and
-    AQE merges small ones.
-    """
+    """Write one folder per day."""
     dated = df.withColumn("dt", F.date_format(ts, "yyyy-MM-dd"))
-    dated.write.partitionBy("dt").parquet(path)
+    rebalanced(dated, "dt").write.partitionBy("dt").parquet(path)
+
+
+def rebalanced(df: DataFrame, folder: str) -> DataFrame:
+    """Rows of a folder together, for few files; adaptive execution splits a busy one."""
+    return df.hint("rebalance", folder)
 
 
 def read_snapshot(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -39,7 +39,8 @@ def with_month(df: DataFrame, ts: str = "created_at") -> DataFrame:
 
 def write_event_log(df: DataFrame, path: str) -> None:
     """Append to the month-partitioned log."""
-    with_month(df).write.mode("append").partitionBy("event_month").parquet(path)
+    logged = rebalanced(with_month(df), "event_month")
+    logged.write.mode("append").partitionBy("event_month").parquet(path)
 
 
 def month_range(df: DataFrame, since: Column, until: Column, ts: str = "created_at") -> DataFrame:
@@ -61,7 +62,7 @@ def append_new_events(spark: SparkSession, batch: DataFrame, path: str) -> None:
         log = spark.read.schema(fresh.schema).parquet(path)
         touched = log.select("event_id", "event_month").join(months, "event_month", "left_semi")
         fresh = fresh.join(touched, ["event_id", "event_month"], "left_anti")
-    fresh.write.mode("append").partitionBy("event_month").parquet(path)
+    rebalanced(fresh, "event_month").write.mode("append").partitionBy("event_month").parquet(path)
 
 
 def log_exists(spark: SparkSession, path: str) -> bool:
