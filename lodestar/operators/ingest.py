@@ -164,7 +164,7 @@ def rate_limit(
     )
 
 
-def rate_limit_rejections(limited: DataFrame, window_seconds: int, alert: float) -> DataFrame:
+def rate_limit_rejections(limited: DataFrame, alert: float = C.REJECTION_RATE_ALERT) -> DataFrame:
     """Rejected requests per 5 minutes and whether their rate needs an alert."""
     slot = window_index(F.col("created_at"), 300)
     return (

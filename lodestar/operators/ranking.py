@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from lodestar import constants as C
 from lodestar.functions import events as E
 from lodestar.functions import hashing as H
-from lodestar.functions import vectors as V
 from lodestar.functions.numbering import global_row_number
 
 # Weights of the plain linear scorer, in the order of RANKING_FEATURES.

@@ -266,7 +266,7 @@ FROM ranked GROUP BY slot
 )
 def _(t: Tables):
     limited = ingest.rate_limit(t.interactions, limit=5, window_seconds=3600)
-    return ingest.rate_limit_rejections(limited, 3600, C.REJECTION_RATE_ALERT)
+    return ingest.rate_limit_rejections(limited)
 
 
 @query(

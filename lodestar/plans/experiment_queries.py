@@ -8,7 +8,7 @@ from lodestar import constants as C
 from lodestar.operators import experiments as X
 from lodestar.operators import monitoring as M
 from lodestar.plans.registry import query
-from lodestar.plans.views import IMPRESSION_SQL, NOW_SQL, VIEWS, erfc_sql, hash_mod_sql
+from lodestar.plans.views import IMPRESSION_SQL, VIEWS, erfc_sql, hash_mod_sql
 from lodestar.sources.bindings import Tables, now
 
 HELD_SQL = f"({hash_mod_sql(chr(39) + C.HOLDBACK_KEY + ':' + chr(39) + ' || user_id', 10000)} < 500)"
