@@ -84,7 +84,7 @@ OP9_SQL = rf"""
 WITH pages AS (SELECT row_number() OVER () AS page, * FROM documents),
 lines AS (
   SELECT page, doc_id, source, unnest(string_split(text, chr(10))) AS line,
-         generate_subscripts(string_split(text, chr(10)), 1) AS at
+         generate_subscripts(string_split(text, chr(10)), 1) AS place
   FROM pages WHERE text IS NOT NULL
 ),
 hosts AS (SELECT source, count(*) AS host_pages FROM pages GROUP BY source),
@@ -102,7 +102,7 @@ marked AS (
 ),
 kept AS (
   SELECT page, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
-         coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT dropped), '') AS text
+         coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '') AS text
   FROM marked GROUP BY page
 )
 SELECT p.doc_id, p.source, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped,
