@@ -27,10 +27,16 @@ def auc(scored: DataFrame, groups: list[str]) -> DataFrame:
     counts = scored.groupBy(*groups, "score").agg(
         F.sum(F.col("label").cast("bigint")).alias("pos"), F.count("*").alias("n")
     )
+    return auc_of_counts(counts, groups)
+
+
+def auc_of_counts(counts: DataFrame, groups: list[str]) -> DataFrame:
+    """AUC from (groups, score, pos, n): positives and rows of each score."""
     ranked = weighted_below(counts, groups, "score", "n")
-    doubled_rank = 2 * F.col("below") + F.col("n") + 1
+    # Products of counts pass 64 bits at a few billion rows, so they are decimals.
+    doubled_rank = (2 * F.col("below") + F.col("n") + 1).cast("decimal(20,0)")
     sums = ranked.groupBy(*groups).agg(
-        F.sum(doubled_rank * F.col("pos")).alias("r2"),
+        F.sum((doubled_rank * F.col("pos").cast("decimal(17,0)")).cast("decimal(38,0)")).cast("double").alias("r2"),
         F.sum("pos").alias("n1"),
         F.sum(F.col("n") - F.col("pos")).alias("n0"),
     )
@@ -86,7 +92,7 @@ def diversity(rows: DataFrame, items: DataFrame, groups: list[str], dim: int) ->
         own.alias("own"),
         F.sum("times").alias("n"),
     )
-    pairs = F.col("n") * (F.col("n") - 1)
+    pairs = F.col("n").cast("double") * (F.col("n") - 1)
     mean = (V.dot(F.col("total"), F.col("total")) - F.col("own")) / pairs
     return sums.select(*groups, F.when(F.col("n") < 2, 0.0).otherwise(1.0 - mean).alias("diversity"))
 

@@ -222,9 +222,26 @@ def two_proportion_ztest(arms: DataFrame) -> DataFrame:
     )
 
 
-def srm_chi2(control: Column, treatment: Column, expected_ratio: float = 1.0) -> Column:
+def expected_ratios(experiments: DataFrame) -> DataFrame:
+    """(experiment, expected_ratio): control to treatment shares of the configured ranges; 1 without treatment."""
+    control = F.col("control_high") - F.col("control_low")
+    treatment = F.col("treatment_high") - F.col("treatment_low")
+    ratio = F.coalesce(F.try_divide(control.cast("double"), treatment.cast("double")), F.lit(1.0))
+    return experiments.select(F.col("name").alias("experiment"), ratio.alias("expected_ratio"))
+
+
+def with_expected_ratio(arms: DataFrame, experiments: DataFrame | None) -> DataFrame:
+    """Arms with the split to expect: as configured, else 1:1."""
+    if experiments is None:
+        return arms.withColumn("expected_ratio", F.lit(1.0))
+    known = arms.join(expected_ratios(experiments), "experiment", "left")
+    return known.withColumn("expected_ratio", F.coalesce("expected_ratio", F.lit(1.0)))
+
+
+def srm_chi2(control: Column, treatment: Column, expected_ratio: Column | float = 1.0) -> Column:
+    ratio = expected_ratio if isinstance(expected_ratio, Column) else F.lit(expected_ratio)
     total = control + treatment
-    expected_c = total * (expected_ratio / (1.0 + expected_ratio))
+    expected_c = total * (ratio / (ratio + 1.0))
     expected_t = total - expected_c
     chi2 = F.try_divide(F.pow(control - expected_c, 2.0), expected_c) + F.try_divide(
         F.pow(treatment - expected_t, 2.0), expected_t
@@ -232,9 +249,10 @@ def srm_chi2(control: Column, treatment: Column, expected_ratio: float = 1.0) ->
     return F.coalesce(chi2, F.lit(0.0))
 
 
-def sample_ratio_mismatch(arms: DataFrame, expected_ratio: float = 1.0) -> DataFrame:
-    chi2 = srm_chi2(F.col("c_total"), F.col("t_total"), expected_ratio)
-    tested = arms.withColumn("chi2", chi2)
+def sample_ratio_mismatch(arms: DataFrame, experiments: DataFrame | None = None) -> DataFrame:
+    """Chi-square test of the arms' sizes against the split that ``experiments`` configures (1:1 without)."""
+    chi2 = srm_chi2(F.col("c_total"), F.col("t_total"), F.col("expected_ratio"))
+    tested = with_expected_ratio(arms, experiments).withColumn("chi2", chi2)
     p = P.chi_square_1df_p(F.col("chi2"))
     return tested.select(
         "experiment",
@@ -263,12 +281,15 @@ def required_sample_size(
     return F.coalesce(F.ceil(needed), F.lit(0))
 
 
-def evaluate_experiments(rollup: DataFrame, metrics_tested: int = 1) -> DataFrame:
-    """CTR test, sample-ratio check and corrected decision per experiment."""
-    arms = two_arms(rollup)
+def evaluate_experiments(
+    rollup: DataFrame, experiments: DataFrame | None = None, metrics_tested: int = 1
+) -> DataFrame:
+    """CTR test, sample-ratio check (against the configured split) and corrected decision per experiment."""
+    arms = with_expected_ratio(two_arms(rollup), experiments)
     z = z_statistic(*[F.col(c) for c in ("c_clicks", "c_total", "t_clicks", "t_total")])
     p = p_value_of_z(F.col("z"))
-    ratio_ok = P.chi_square_1df_p(srm_chi2(F.col("c_total"), F.col("t_total"))) > C.SRM_P_THRESHOLD
+    chi2 = srm_chi2(F.col("c_total"), F.col("t_total"), F.col("expected_ratio"))
+    ratio_ok = P.chi_square_1df_p(chi2) > C.SRM_P_THRESHOLD
     alpha = bonferroni(C.ALPHA, F.lit(metrics_tested))
     control = E.safe_ratio(F.col("c_clicks"), F.col("c_total"))
     treatment = E.safe_ratio(F.col("t_clicks"), F.col("t_total"))
@@ -301,13 +322,15 @@ def mann_whitney_u(samples: DataFrame, groups: list[str]) -> DataFrame:
     ties = per_value.withColumn("n", F.col("nc") + F.col("nt")).filter("n > 0")
     ranked = weighted_below(ties, groups, "value", "n")
     # Average rank of a tie block: below + (n + 1) / 2; kept doubled to stay integral.
-    doubled = 2 * F.col("below") + F.col("n") + 1
-    cubes = (F.col("n") * F.col("n") * F.col("n") - F.col("n")).cast("decimal(38,0)")
+    # Products of counts pass 64 bits on ordinary data, so they are decimals.
+    doubled = (2 * F.col("below") + F.col("n") + 1).cast("decimal(20,0)")
+    n = F.col("n").cast("decimal(12,0)")
+    cubes = n * n * n - n
     sums = ranked.groupBy(*groups).agg(
         F.sum("nc").alias("n1"),
         F.sum("nt").alias("n2"),
-        F.sum(doubled * F.col("nc")).alias("r2"),
-        F.sum(cubes).cast("double").alias("ties"),
+        F.sum((doubled * F.col("nc").cast("decimal(17,0)")).cast("decimal(38,0)")).cast("double").alias("r2"),
+        F.sum(cubes.cast("decimal(38,0)")).cast("double").alias("ties"),
     )
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     total = n1 + n2

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar import constants as C
 from lodestar.functions import events as E
-from lodestar.sources.storage import cut_lineage
 
 
 def validate_event_type(events: DataFrame) -> DataFrame:
@@ -81,60 +84,44 @@ def fan_out(events: DataFrame) -> DataFrame:
     return events.withColumn("route", F.explode(routes)).select("route.topic", "route.key", *events.columns)
 
 
-def dedupe_events(
-    events: DataFrame,
-    ttl_seconds: int = C.DEDUPE_TTL_SECONDS,
-    max_group: int = 10_000,
-) -> DataFrame:
+def dedupe_events(events: DataFrame, ttl_seconds: int = C.DEDUPE_TTL_SECONDS) -> DataFrame:
     """(event_id, created_at) of accepted deliveries.
 
     A delivery is accepted when at least ``ttl_seconds`` have passed since the
     last accepted one of the same id. Simultaneous copies count as one.
-    Ordinary ids fold their few delivery times in one array expression. An id
-    with more than ``max_group`` distinct times is handled by repeated
-    minimum-aggregations, which combine on the map side and never gather it.
+
+    The events are read once. Copies of one moment combine before the shuffle;
+    each id's distinct times then pass in order, with the last accepted one as
+    the only state, so an id may have any number of deliveries. Rows without an
+    id or a time are left out.
     """
     ttl = ttl_seconds * 1_000_000
-    times = events.groupBy("event_id", F.col("created_at").alias("ts")).agg(F.lit(1).alias("one"))
-    sizes = times.groupBy("event_id").agg(F.count("*").alias("n"))
-    hot = sizes.filter(F.col("n") > max_group).select("event_id")
-    hot_ids = cut_lineage(hot)
-    # Number of ids is at most rows / max_group; usually there are none.
-    if hot_ids.isEmpty():
-        return _fold_small(times, ttl)
-    small = times.join(hot_ids, "event_id", "left_anti")
-    large = times.join(hot_ids, "event_id", "left_semi")
-    return _fold_small(small, ttl).unionByName(_fold_large(large, ttl_seconds))
-
-
-def _fold_small(times: DataFrame, ttl: int) -> DataFrame:
-    sorted_times = F.array_sort(F.collect_list(E.micros(F.col("ts"))))
-
-    def step(acc: Column, t: Column) -> Column:
-        due = F.size(acc) == 0
-        later = t - F.element_at(acc, -1) >= ttl
-        return F.when(due | F.coalesce(later, F.lit(True)), F.concat(acc, F.array(t))).otherwise(acc)
-
-    start = F.array().cast("array<bigint>")
-    return (
-        times.groupBy("event_id")
-        .agg(sorted_times.alias("ts"))
-        .select("event_id", F.explode_outer(F.aggregate("ts", start, step)).alias("micros"))
-        .select("event_id", F.timestamp_micros("micros").cast("timestamp_ntz").alias("created_at"))
-    )
-
-
-def _fold_large(times: DataFrame, ttl_seconds: int) -> DataFrame:
-    """Advance all hot ids together: next accepted = min(ts >= last + ttl)."""
-    rows = cut_lineage(times.select("event_id", "ts"))
-    last = cut_lineage(rows.groupBy("event_id").agg(F.min("ts").alias("created_at")))
-    accepted = last
-    while not last.isEmpty():
-        due = F.col("created_at") + F.make_dt_interval(secs=F.lit(float(ttl_seconds)))
-        later = rows.join(last, "event_id").filter(F.col("ts") >= due)
-        last = cut_lineage(later.groupBy("event_id").agg(F.min("ts").alias("created_at")))
-        accepted = accepted.unionByName(last)
-    return accepted
+    times = events.select("event_id", E.micros(F.col("created_at")).alias("us")).dropna().distinct()
+    ordered = times.repartition("event_id").sortWithinPartitions("event_id", "us")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, last = None, 0
+        for batch in batches:
+            ids = batch.column("event_id").to_numpy(zero_copy_only=False)
+            us = batch.column("us").to_numpy(zero_copy_only=False)
+            taken: list[int] = []
+            starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else ids
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)]):
+                at = start
+                if ids[start] != current:
+                    current, last = ids[start], us[start]
+                    taken.append(start)
+                while True:
+                    # The next delivery that is due; those before it are repeats.
+                    at = at + int(np.searchsorted(us[at:end], last + ttl))
+                    if at >= end:
+                        break
+                    taken.append(at)
+                    last = us[at]
+            yield batch.take(pa.array(taken, pa.int64()))
+
+    accepted = ordered.mapInArrow(fold, ordered.schema)
+    return accepted.select("event_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("created_at"))
 
 
 def window_index(ts: Column, seconds: int) -> Column:

@@ -43,7 +43,10 @@ FROM (SELECT *, coalesce((x2 / nullif(n2, 0) - x1 / nullif(n1, 0)) / nullif(sqrt
     * (1 - (x1 + x2) / nullif(n1 + n2, 0)) * (1 / nullif(n1, 0) + 1 / nullif(n2, 0))), 0), 0) AS z FROM two_arms)"""
 VIEWS["srm"] = f"""
 SELECT experiment, chi2, {erfc_sql('sqrt(chi2 / 2.0::DOUBLE)')} AS p
-FROM (SELECT experiment, coalesce(2 * pow((n1 - n2) / 2, 2) / nullif((n1 + n2) / 2, 0), 0) AS chi2 FROM two_arms)"""
+FROM (SELECT experiment, coalesce(pow(n1 - e1, 2) / nullif(e1, 0) + pow(n2 - (n1 + n2 - e1), 2) / nullif(n1 + n2 - e1, 0), 0) AS chi2
+  FROM (SELECT *, (n1 + n2) * (ratio / (ratio + 1.0::DOUBLE)) AS e1 FROM two_arms JOIN
+    (SELECT name AS experiment, (control_high - control_low)::DOUBLE / (treatment_high - treatment_low) AS ratio
+     FROM experiments) USING (experiment)))"""
 
 
 def shoppers(t: Tables):
@@ -87,7 +90,7 @@ requests AS (SELECT user_id, ['two_tower_v1_vs_baseline', 'ranker_v2', 'old_exp'
   FROM shoppers),
 sticky AS (SELECT o_custkey AS user_id, experiment, arg_max(o_orderkey % 100, o_orderkey) AS bucket
   FROM orders JOIN requests ON user_id = o_custkey
-  WHERE experiment = 'two_tower_v1_vs_baseline' AND o_orderkey % 7 = 0 GROUP BY ALL)
+  WHERE experiment = 'two_tower_v1_vs_baseline' GROUP BY ALL)
 ---
 SELECT r.user_id, r.experiment,
   coalesce(CASE WHEN {HELD_SQL.replace('user_id', 'r.user_id')} THEN -1 WHEN s.bucket IS NOT NULL THEN s.bucket
@@ -104,12 +107,12 @@ LEFT JOIN buckets b ON b.user_id = r.user_id AND b.experiment = r.experiment
 )
 def _(t: Tables):
     # Each customer asks for one experiment: two active, one stopped, one
-    # unknown. Some already have a logged assignment (from their orders).
+    # unknown. Every order is a logged assignment; customers without orders have none.
     names = F.array(*[F.lit(n) for n in ("two_tower_v1_vs_baseline", "ranker_v2", "old_exp", "no_such")])
     requests = shoppers(t).select(
         "user_id", F.element_at(names, (F.col("user_id") % 4 + 1).cast("int")).alias("experiment")
     )
-    logged = t.raw("orders").filter("o_orderkey % 7 = 0 AND o_custkey % 4 = 0")
+    logged = t.raw("orders")
     bucket = (F.col("o_orderkey") % 100).cast("int")
     # Later order keys were logged later; all within the last day.
     age = F.make_dt_interval(secs=F.lit(80000.0) / (F.col("o_orderkey") + 1))
@@ -208,7 +211,7 @@ SELECT experiment, round(chi2, 6) AS chi2, round(p, 6) AS p_value, p > {C.SRM_P_
 """,
 )
 def _(t: Tables):
-    return X.sample_ratio_mismatch(X.two_arms(rollup(t)))
+    return X.sample_ratio_mismatch(X.two_arms(rollup(t)), t.experiments)
 
 
 @query(
@@ -254,7 +257,7 @@ FROM ztests z JOIN srm s ON s.experiment = z.experiment
 """,
 )
 def _(t: Tables):
-    return X.evaluate_experiments(rollup(t))
+    return X.evaluate_experiments(rollup(t), t.experiments)
 
 
 @query(

@@ -67,10 +67,8 @@ SELECT user_id, item_id, epoch_us(touched_at) AS touched_us, position::INTEGER A
 )
 def _(t: Tables):
     stream = S.recent_items(events(t))
-    rows = io.run_update(stream, "recent", ["user_id", "item_id"])
-    newest = rows.groupBy("user_id").agg(F.max("version_us").alias("version_us"))
-    current = rows.join(newest, ["user_id", "version_us"], "left_semi")
-    return current.select("user_id", "item_id", "touched_us", "position")
+    current = io.run_newest(stream, "recent", ["user_id"])
+    return current.filter("item_id IS NOT NULL")
 
 
 @query("unique_viewers_stream")

@@ -54,17 +54,23 @@ def month_range(df: DataFrame, since: Column, until: Column, ts: str = "created_
 def append_new_events(spark: SparkSession, batch: DataFrame, path: str) -> None:
     """Append rows whose event_id the log does not hold yet (safe to repeat).
 
-    Only the months that the batch touches are read from the log.
+    A repeat may lie in the month before or after, so the months that the batch
+    touches and their neighbours are read from the log, and only these folders.
     """
-    months = with_month(batch).select("event_month").distinct()
     fresh = with_month(batch).dropDuplicates(["event_id"])
     if log_exists(spark, path):
         log = spark.read.schema(fresh.schema).parquet(path)
-        touched = log.select("event_id", "event_month").join(months, "event_month", "left_semi")
-        fresh = fresh.join(touched, ["event_id", "event_month"], "left_anti")
+        known = log.filter(F.col("event_month").isin(touched_months(batch))).select("event_id")
+        fresh = fresh.join(known, "event_id", "left_anti")
     rebalanced(fresh, "event_month").write.mode("append").partitionBy("event_month").parquet(path)
 
 
+def touched_months(batch: DataFrame, ts: str = "created_at") -> list[str]:
+    """Months of the batch with their neighbours: a handful of names on the driver."""
+    around = F.array(*[F.date_format(F.add_months(ts, n), "yyyy-MM") for n in (-1, 0, 1)])
+    return [row[0] for row in batch.select(F.explode(around)).distinct().collect()]
+
+
 def log_exists(spark: SparkSession, path: str) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())

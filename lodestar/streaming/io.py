@@ -89,6 +89,17 @@ def batch_writer(path: str) -> Handler:
     return write
 
 
+def run_newest(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Run an update-mode query whose output replaces all rows of a key; the rows of each key's last batch."""
+    spark = stream.sparkSession
+    path = new_path(spark, name)
+    run_batches(stream, name, batch_writer(path), "update")
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    versions = spark.read.schema(schema).parquet(path)
+    newest = versions.groupBy(*keys).agg(F.max("batch").alias("batch"))
+    return versions.join(newest, [*keys, "batch"], "left_semi").drop("batch")
+
+
 def run_update(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     """Run an update-mode aggregation; the result is the last version of each key."""
     spark = stream.sparkSession

@@ -139,7 +139,7 @@ def audit_handler(path: str) -> Handler:
     return handle
 
 
-RECENT_OUTPUT = "user_id bigint, item_id bigint, touched_us bigint, position int, version_us bigint"
+RECENT_OUTPUT = "user_id bigint, item_id bigint, touched_us bigint, position int"
 RECENT_STATE = "items array<bigint>, touched array<bigint>"
 
 
@@ -151,13 +151,15 @@ def recent_items(
     """Per user the last distinct items; the state expires a day after the last event.
 
     A batch is folded frame by frame and the state never holds more than
-    ``limit`` items. Each update emits the user's whole new list.
+    ``limit`` items. Each update emits the user's whole new list, which replaces
+    the one of an earlier batch; an expired user gets one row without an item.
     """
     ttl_ms = ttl_seconds * 1000
 
     def update(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
+            yield pd.DataFrame({"user_id": [key[0]], "item_id": [None], "touched_us": [None], "position": [None]})
             return
         latest: dict[int, int] = {}
         if state.exists:
@@ -180,7 +182,6 @@ def recent_items(
                 "item_id": items,
                 "touched_us": touched,
                 "position": range(1, len(items) + 1),
-                "version_us": touched[0],
             }
         )
 

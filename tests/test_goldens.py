@@ -152,16 +152,49 @@ def test_category_cap_is_a_permutation(spark):
     assert order == [1, 2, 3, 4, 9, 10, 5, 6, 7, 8]
 
 
-@pytest.mark.parametrize("max_group", [10_000, 2])
-def test_dedupe_fold_small_and_hot(spark, max_group):
+def test_dedupe_fold(spark):
     times = [0, 1800, 3500, 3700, 7000, 7300]
     rows = [(7, T0 + dt.timedelta(seconds=s)) for s in times + [0]] + [(8, T0)]
     df = spark.createDataFrame(rows, "event_id long, created_at timestamp_ntz")
-    accepted = ingest.dedupe_events(df, max_group=max_group).collect()
+    accepted = ingest.dedupe_events(df).collect()
     found = sorted((r.event_id, int((r.created_at - T0).total_seconds())) for r in accepted)
     assert found == [(7, 0), (7, 3700), (7, 7300), (8, 0)]
 
 
+def test_dedupe_of_a_busy_id(spark):
+    """A year of one id, a delivery a minute, in one job."""
+    minutes = 365 * 1440
+    times = spark.range(minutes).select(
+        F.lit(1).cast("bigint").alias("event_id"),
+        (F.timestamp_micros(F.lit(1704067200000000) + F.col("id") * 60_000_000)).cast("timestamp_ntz").alias("created_at"),
+    )
+    assert ingest.dedupe_events(times).count() == minutes // 60
+
+
+def test_mann_whitney_with_ten_million_ties(spark):
+    rows = [("e", v, x, n) for v, n in (("control", 5_000_000), ("treatment", 5_000_000)) for x in (0.0, 1.0)]
+    df = spark.createDataFrame(rows, "experiment string, variant string, value double, n long")
+    row = one(X.mann_whitney_u(df, ["experiment"]))
+    assert row.u == 10_000_000.0**2 / 2 and row.p_value == 1.0
+
+
+def test_auc_of_billions(spark):
+    rows = [("a", 0.1, 0, 4_000_000_000), ("a", 0.9, 1, 4_000_000_000)]
+    counts = spark.createDataFrame(rows, "approach string, score double, label int, n long")
+    pos = F.when(F.col("label") == 1, F.col("n")).otherwise(0).alias("pos")
+    found = one(evaluation.auc_of_counts(counts.select("approach", "score", pos, "n"), ["approach"]))
+    assert found.auc == 1.0
+
+
+def test_sample_ratio_of_an_uneven_split(spark):
+    experiments = spark.createDataFrame(
+        [("e", 0, 50, 50, 90)], "name string, control_low int, control_high int, treatment_low int, treatment_high int"
+    )
+    row = one(X.sample_ratio_mismatch(arms(spark, 0, 50_000, 0, 40_000), experiments))
+    assert row.ratio_ok and row.chi2 == 0
+    assert not one(X.sample_ratio_mismatch(arms(spark, 0, 45_000, 0, 45_000), experiments)).ratio_ok
+
+
 def test_clock_gate(spark):
     at = dt.datetime(2024, 1, 10)
     offsets = {"hour ahead": 3600, "old": -30 * 86400, "fine": -300, "edge": 300}

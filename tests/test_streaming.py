@@ -39,14 +39,30 @@ def test_recent_items_state(spark):
     first = [(i, 1, i, "click", i) for i in range(60)]
     second = [(100, 1, 3, "save", 500), (101, 2, 9, "click", 501)]
     stream = files(spark, [first, second])
-    rows = io.run_update(S.recent_items(stream), "recent", ["user_id", "item_id"])
-    newest = rows.groupBy("user_id").agg(F.max("version_us").alias("version_us"))
-    current = rows.join(newest, ["user_id", "version_us"], "left_semi").orderBy("position").collect()
+    current = io.run_newest(S.recent_items(stream), "recent", ["user_id"]).orderBy("position").collect()
     mine = [r.item_id for r in current if r.user_id == 1]
     assert len(mine) == 50 and mine[0] == 3 and mine[1] == 59
     assert [r.item_id for r in current if r.user_id == 2] == [9]
 
 
+def test_recent_items_out_of_order(spark):
+    first = [(i, 1, i, "click", 1000 + i) for i in range(50)]
+    late = [(100, 1, 200, "click", 1010)]
+    later = [(101, 1, 201, "click", 1005), (102, 1, 0, "click", 900)]
+    current = io.run_newest(S.recent_items(files(spark, [first, late, later])), "recent", ["user_id"]).collect()
+    touched = {i: 1000 + i for i in range(50)} | {200: 1010, 201: 1005}
+    want = sorted(touched, key=lambda i: (-touched[i], i))[:50]
+    assert [r.item_id for r in sorted(current, key=lambda r: r.position)] == want
+
+
+def test_recent_items_expire(spark):
+    day = 86400
+    batches = [[(1, 1, 5, "click", 0)], [(2, 2, 6, "click", 3 * day)], [(3, 2, 7, "click", 3 * day + 10)]]
+    current = io.run_newest(S.recent_items(files(spark, batches)), "recent", ["user_id"]).collect()
+    assert [r.item_id for r in current if r.user_id == 1] == [None]
+    assert [r.item_id for r in sorted(current, key=lambda r: r.position or 0) if r.user_id == 2] == [7, 6]
+
+
 def test_update_keeps_last_version(spark):
     stream = files(spark, [[(1, 1, 5, "click", 10)], [(2, 1, 5, "share", 20)]])
     rows = io.run_update(S.trending(stream), "trend", ["window_end", "item_id"]).collect()
