@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from lodestar import constants as C
 from lodestar.functions import events as E
 from lodestar.functions import hashing as H
 from lodestar.functions.numbering import global_row_number
+from lodestar.operators.retrieval import item_matrix
 
 # Weights of the plain linear scorer, in the order of RANKING_FEATURES.
 LINEAR_WEIGHTS = [0.4, 0.1, 0.2, 0.05, 0.05, 0.1, 0.1]
@@ -169,6 +171,28 @@ def mmr_positions(n: int, weight: float = C.MMR_LAMBDA) -> Callable[..., Column]
     return positions
 
 
+def mmr_positions_by_id(shared: Broadcast, n: int, weight: float = C.MMR_LAMBDA) -> Callable[..., Column]:
+    """The same, with the vectors looked up by id in a broadcast (sorted ids, vectors)."""
+
+    @F.pandas_udf("array<int>")
+    def positions(ids: pd.Series, scores: pd.Series) -> pd.Series:
+        known, vectors = shared.value
+        picked = []
+        for id_list, rel in zip(ids, scores):
+            own = np.asarray(id_list, dtype=np.int64)
+            at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
+            has = known[at] == own if len(known) else np.zeros(len(own), dtype=bool)
+            picked.append(_mmr_picks(own, np.asarray(rel), has, vectors[at[has]], n, weight))
+        return pd.Series(picked)
+
+    return positions
+
+
+def pack_lists(ranked: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per user: ``c`` (structs of the columns), without vectors."""
+    return ranked.groupBy("user_id").agg(F.collect_list(F.struct(*columns)).alias("c"))
+
+
 def pack_candidates(ranked: DataFrame, columns: list[str]) -> DataFrame:
     """One row per user: ``c`` (structs of the columns) and the vectors end to end.
 
@@ -183,19 +207,29 @@ def pack_candidates(ranked: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def mmr_pick(packed: DataFrame, n: int, weight: float = C.MMR_LAMBDA) -> DataFrame:
-    """Add ``picked``: positions in ``c`` of the first n items by marginal relevance."""
+def mmr_pick(ranked: DataFrame, items: DataFrame, columns: list[str], n: int, weight: float = C.MMR_LAMBDA) -> DataFrame:
+    """(user_id, c, picked): packed candidates and positions of the first n by marginal relevance.
+
+    Vectors whose counted size allows are broadcast once, so that candidate
+    rows travel without them; else they are joined to the rows.
+    """
+    shared = item_matrix(items)
+    if shared is not None:
+        packed = pack_lists(ranked, columns)
+        return packed.withColumn("picked", mmr_positions_by_id(shared, n, weight)("c.item_id", "c.score"))
+    vectors = items.select("item_id", "embedding")
+    packed = pack_candidates(ranked.join(vectors, "item_id", "left"), columns)
     picks = mmr_positions(n, weight)("c.item_id", "c.score", "c.has_vector", "vectors")
     return packed.withColumn("picked", picks).drop("vectors")
 
 
-def mmr_rerank(ranked: DataFrame, n: int, weight: float = C.MMR_LAMBDA) -> DataFrame:
+def mmr_rerank(ranked: DataFrame, items: DataFrame, n: int, weight: float = C.MMR_LAMBDA) -> DataFrame:
     """First n items per user by maximal marginal relevance.
 
-    ``ranked`` holds (user_id, item_id, score, embedding). Users are batched
-    through Arrow, a whole candidate list at a time.
+    ``ranked`` holds (user_id, item_id, score), ``items`` the vectors. Users are
+    batched through Arrow, a whole candidate list at a time.
     """
-    chosen = mmr_pick(pack_candidates(ranked, ["item_id", "score"]), n, weight)
+    chosen = mmr_pick(ranked, items, ["item_id", "score"], n, weight)
     # The outer form keeps the optimizer from evaluating the UDF twice, once
     # for an inferred "not empty" filter.
     return chosen.select(

@@ -1,9 +1,10 @@
 """Nearest-neighbour retrieval over all queries at once.
 
-Vectors are packed into blocks of rows; a block of queries meets a block of
-items in one NumPy product inside a task, and only the best k of each pair of
-blocks leave it. No pair of single rows is ever materialised. Spark bounds an
-Arrow batch by bytes as well as rows, so packed rows do not pile up in memory.
+Item vectors whose counted size allows are broadcast as one matrix: a block of
+queries meets it in slices, a running top-k is kept, and k rows per query leave
+the task, already ranked, so nothing is shuffled after the product. Larger item
+sides are packed into blocks that meet the query blocks on a grid. No pair of
+single rows is ever materialised.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,20 +26,16 @@ QUERY_BLOCK = 256
 ITEM_BLOCK = 4096
 # Item matrices up to this size are broadcast; larger ones meet on a grid.
 BROADCAST_BYTES = 64 * 1024 * 1024
-GRID = 16
 SCORE_SCALE = 1_000_000
 
 
 def _pack(
-    df: DataFrame, key: str, by: str | None, rows: int, unit: bool, skip: str | None = None
+    df: DataFrame, key: str, by: str | None, rows: int, unit: bool, side: int, skip: str | None = None
 ) -> DataFrame:
     """One row per block: ids, the float64 matrix as bytes, lists of ids to skip."""
     id_type = df.schema[key].dataType.simpleString()
     by_type = df.schema[by].dataType.simpleString() if by else "int"
-    columns = [F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("v")]
-    columns.append(F.col(by).alias("part") if by else F.lit(0).alias("part"))
     skip_type = df.schema[skip].dataType.simpleString() if skip else "array<int>"
-    columns.append((F.col(skip) if skip else F.lit(None).cast(skip_type)).alias("skip"))
 
     def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -45,9 +43,7 @@ def _pack(
             for part, group in frame.groupby("part", sort=False):
                 for start in range(0, len(group), size):
                     chunk = group.iloc[start : start + size].sort_values("id")
-                    matrix = np.stack(chunk["v"].to_numpy())
-                    if unit:
-                        matrix = matrix / (np.linalg.norm(matrix, axis=1, keepdims=True) + V.EPSILON)
+                    matrix = _matrix(chunk["v"], unit)
                     ids = chunk["id"].to_numpy()
                     skips = [() if s is None else s for s in chunk["skip"]] if skip else None
                     yield pd.DataFrame(
@@ -61,40 +57,119 @@ def _pack(
                     )
 
     schema = f"part {by_type}, ids array<{id_type}>, block string, m binary, skips array<{skip_type}>"
-    known = df.filter(F.col("embedding").isNotNull()).select(*columns)
+    known = _columns(df, key, by, skip)
     if by:
         # Bring a part's rows together so that its blocks fill up; the salt
         # spreads a crowded part over several tasks.
-        known = known.repartition("part", F.pmod(F.hash("id"), F.lit(GRID))).sortWithinPartitions("part")
+        known = known.repartition("part", F.pmod(F.hash("id"), F.lit(side))).sortWithinPartitions("part")
     return known.mapInPandas(blocks, schema)
 
 
 _NEVER = np.iinfo(np.int64).max
 
 
+def _skip_cells(item_ids: np.ndarray, skips) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of every (query, unwanted item) that the sorted items hold."""
+    sizes = [0 if s is None else len(s) for s in skips]
+    if not len(item_ids) or not sum(sizes):
+        return np.zeros(0, dtype=int), np.zeros(0, dtype=int)
+    wanted = np.concatenate([np.asarray(s) for s in skips if s is not None and len(s)])
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    cols = np.minimum(np.searchsorted(item_ids, wanted), len(item_ids) - 1)
+    hit = item_ids[cols] == wanted
+    return rows[hit], cols[hit]
+
+
 def _block_topk(query_ids, query_matrix, item_ids, item_matrix, skips, k: int):
-    """Best k items of a block for each query, by (rounded score desc, id asc)."""
-    scores = np.rint(query_matrix @ item_matrix.T * SCORE_SCALE).astype(np.int64)
+    """Best k items for each query, by (rounded score desc, id asc), with their ranks.
+
+    Items are sorted by id. They are met ITEM_BLOCK at a time; one integer
+    orders by score first, then position.
+    """
     n = len(item_ids)
-    # Items are sorted by id, so one integer orders by score first, then id.
-    order_key = np.arange(n) - scores * n
-    if skips is not None:
-        for row, unwanted in enumerate(skips):
-            if len(unwanted):
-                order_key[row, np.isin(item_ids, unwanted)] = _NEVER
-    if k < n:
-        best = np.argpartition(order_key, k - 1, axis=1)[:, :k]
-    else:
-        best = np.broadcast_to(np.arange(n), (len(query_ids), n))
-    wanted = np.take_along_axis(order_key, best, axis=1).ravel() != _NEVER
-    picked = np.take_along_axis(scores, best, axis=1).ravel()
-    return (
-        np.repeat(query_ids, best.shape[1])[wanted],
-        item_ids[best.ravel()][wanted],
-        picked[wanted] / SCORE_SCALE,
+    rows, cols = _skip_cells(item_ids, skips) if skips is not None else (None, None)
+    best = np.zeros((len(query_ids), 0), dtype=np.int64)
+    for start in range(0, n, ITEM_BLOCK):
+        end = min(start + ITEM_BLOCK, n)
+        scores = np.rint(query_matrix @ item_matrix[start:end].T * SCORE_SCALE).astype(np.int64)
+        keys = np.arange(start, end) - scores * n
+        if rows is not None:
+            inside = (cols >= start) & (cols < end)
+            keys[rows[inside], cols[inside] - start] = _NEVER
+        best = np.concatenate([best, keys], axis=1)
+        if best.shape[1] > k:
+            best = np.partition(best, k - 1, axis=1)[:, :k]
+    best.sort(axis=1)
+    found = best != _NEVER
+    at = np.mod(best, max(n, 1))
+    ranks = np.broadcast_to(np.arange(1, best.shape[1] + 1), best.shape)
+    scores = (at - best)[found] // n / SCORE_SCALE
+    return np.repeat(query_ids, best.shape[1])[found.ravel()], item_ids[at[found]], scores, ranks[found]
+
+
+def _matrix(vectors: pd.Series, unit: bool) -> np.ndarray:
+    matrix = np.stack(vectors.to_numpy()).astype(float)
+    return matrix / (np.linalg.norm(matrix, axis=1, keepdims=True) + V.EPSILON) if unit else matrix
+
+
+def _parts(frame: pd.DataFrame, unit: bool) -> dict:
+    """Sorted ids and matrix of each part of the items."""
+    out = {}
+    for part, group in frame.groupby("part", sort=False):
+        group = group.sort_values("id")
+        out[part] = group["id"].to_numpy(), _matrix(group["v"], unit)
+    return out
+
+
+def _columns(df: DataFrame, key: str, by: str | None, skip: str | None = None) -> DataFrame:
+    skip_type = df.schema[skip].dataType.simpleString() if skip else "array<int>"
+    return df.filter(F.col("embedding").isNotNull()).select(
+        F.col(key).alias("id"),
+        F.col("embedding").cast("array<double>").alias("v"),
+        (F.col(by) if by else F.lit(0)).alias("part"),
+        (F.col(skip) if skip else F.lit(None).cast(skip_type)).alias("skip"),
     )
 
 
+def _topk_of_matrix(
+    queries: DataFrame, items: DataFrame, k: int, by: str | None, unit: bool, skip: str | None,
+    query_key: str, item_key: str, tasks: int,
+) -> DataFrame:
+    """Top-k against items that fit a broadcast; k ranked rows per query leave the task."""
+    known = _columns(items, item_key, by).select("id", "v", "part").toPandas()
+    shared = queries.sparkSession.sparkContext.broadcast(_parts(known, unit) if len(known) else {})
+
+    def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = shared.value
+        for frame in frames:
+            for part, group in frame.groupby("part", sort=False):
+                if part not in parts:
+                    continue
+                ids, matrix = parts[part]
+                for start in range(0, len(group), QUERY_BLOCK):
+                    chunk = group.iloc[start : start + QUERY_BLOCK]
+                    skips = list(chunk["skip"]) if skip else None
+                    q, i, score, rank = _block_topk(
+                        chunk["id"].to_numpy(), _matrix(chunk["v"], unit), ids, matrix, skips, k
+                    )
+                    yield pd.DataFrame({query_key: q, item_key: i, "score": score, "rank": rank.astype(np.int32)})
+
+    query_type = queries.schema[query_key].dataType.simpleString()
+    item_type = items.schema[item_key].dataType.simpleString()
+    schema = f"`{query_key}` {query_type}, `{item_key}` {item_type}, score double, rank int"
+    return _columns(queries, query_key, by, skip).repartition(tasks).mapInPandas(multiply, schema)
+
+
+def item_matrix(items: DataFrame, most: int = BROADCAST_BYTES) -> Broadcast | None:
+    """Sorted ids and vectors of the items as a broadcast; None beyond ``most`` counted bytes."""
+    size = items.agg(F.sum(F.size("embedding") * 8)).first()[0] or 0
+    if size > most:
+        return None
+    known = _columns(items, "item_id", None).select("id", "v").toPandas().sort_values("id")
+    matrix = _matrix(known["v"], False) if len(known) else np.zeros((0, 1))
+    return items.sparkSession.sparkContext.broadcast((known["id"].to_numpy(np.int64), matrix))
+
+
 def vector_topk(
     queries: DataFrame,
     items: DataFrame,
@@ -112,32 +187,32 @@ def vector_topk(
 
     With ``by`` both sides carry that column and only equal values meet. The
     item side is broadcast when its counted size allows; otherwise query and
-    item blocks are spread over a GRID x GRID of cells, so that each side is
-    copied GRID times and every pair of blocks meets in exactly one task.
+    item blocks are spread over a grid of cells with one column per broadcast
+    size of items, so that every pair of blocks meets in exactly one task.
     """
     spark = queries.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = items.agg(F.sum(F.size("embedding") * 8)).first()[0] or 0
+    if size <= broadcast_bytes:
+        return _topk_of_matrix(queries, items, k, by, unit, skip, query_key, item_key, tasks)
     query_type = queries.schema[query_key].dataType.simpleString()
     item_type = items.schema[item_key].dataType.simpleString()
-    q = _pack(queries, query_key, by, QUERY_BLOCK, unit, skip)
-    i = _pack(items, item_key, by, ITEM_BLOCK, unit).drop("skips").withColumnsRenamed(
+    side = max(2, -(-size // max(broadcast_bytes, 1 << 20)))
+    q = _pack(queries, query_key, by, QUERY_BLOCK, unit, side, skip)
+    i = _pack(items, item_key, by, ITEM_BLOCK, unit, side).drop("skips").withColumnsRenamed(
         {"ids": "item_ids", "m": "item_m", "block": "item_block"}
     )
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    size = items.agg(F.sum(F.size("embedding") * 8)).first()[0] or 0
-    if size <= broadcast_bytes:
-        pairs = q.repartition(tasks, "block").join(F.broadcast(i), "part")
-    else:
-        grid = F.array(*[F.lit(n) for n in range(GRID)])
-        q = q.withColumn("row", F.pmod(F.hash("block"), GRID)).withColumn("col", F.explode(grid))
-        i = i.withColumn("col", F.pmod(F.hash("item_block"), GRID)).withColumn("row", F.explode(grid))
-        pairs = q.join(i, ["part", "row", "col"])
+    grid = F.sequence(F.lit(0), F.lit(side - 1))
+    q = q.withColumn("row", F.pmod(F.hash("block"), F.lit(side))).withColumn("col", F.explode(grid))
+    i = i.withColumn("col", F.pmod(F.hash("item_block"), F.lit(side))).withColumn("row", F.explode(grid))
+    pairs = q.join(i, ["part", "row", "col"])
 
     def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
                 left = np.frombuffer(row.m).reshape(len(row.ids), -1)
                 right = np.frombuffer(row.item_m).reshape(len(row.item_ids), -1)
-                ids, found, scores = _block_topk(
+                ids, found, scores, _ = _block_topk(
                     np.asarray(row.ids), left, np.asarray(row.item_ids), right, row.skips, k
                 )
                 yield pd.DataFrame({"q": ids, "i": found, "score": scores})

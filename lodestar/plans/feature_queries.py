@@ -52,7 +52,7 @@ SELECT user_id, list(x / (sqrt(ss) + 1e-9::DOUBLE) ORDER BY pos) AS vec FROM (
     SELECT user_id, pos, sum(embedding[pos] * w) / sum(n) AS x FROM (
       SELECT i.user_id, it.embedding, i.w, i.n, unnest(range(1, {DIM + 1})) AS pos
       FROM (SELECT user_id, item_id, sum({weight_sql()}) AS w, count(*) AS n
-            FROM interactions WHERE user_id % 10 <> 7 GROUP BY user_id, item_id) i
+            FROM interactions GROUP BY user_id, item_id) i
       JOIN items it USING (item_id))
     GROUP BY user_id, pos))
 GROUP BY user_id"""

@@ -24,13 +24,8 @@ class FeedSettings:
     experiment: str = "two_tower_v1_vs_baseline"
 
 
-def with_vectors(rows: DataFrame) -> DataFrame:
-    """Rows of users that get a vector: every tenth user goes without, as new users do."""
-    return rows.filter(F.col("user_id") % 10 != 7)
-
-
 def learned_embeddings(interactions: DataFrame, items: DataFrame, dim: int) -> DataFrame:
-    return features.user_embeddings(with_vectors(interactions), items, dim)
+    return features.user_embeddings(interactions, items, dim)
 
 
 def ranked_positions(scores: DataFrame, order: list[Column], n: int) -> DataFrame:
@@ -108,7 +103,7 @@ def shared_lists_of(stats: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def item_profiles(stats: DataFrame, items: DataFrame, flags: DataFrame, now: Column) -> DataFrame:
-    """What the ranking of an item needs, with its vector."""
+    """What the ranking of an item needs."""
     top = stats.agg(F.max("n")).scalar()
     zero = F.lit(0.0)
     return (
@@ -117,7 +112,6 @@ def item_profiles(stats: DataFrame, items: DataFrame, flags: DataFrame, now: Col
         .select(
             "item_id",
             "category",
-            "embedding",
             "created_at",
             "mean_reward",
             "is_trending",
@@ -132,7 +126,7 @@ def user_profiles(
     touches: DataFrame, items: DataFrame, users: DataFrame, dim: int
 ) -> DataFrame:
     """One row per user: vector, cold flag, affinity by category, recent items."""
-    learned = features.embeddings_of(with_vectors(touches), items, dim)
+    learned = features.embeddings_of(touches, items, dim)
     affinity = features.affinity_of(touches, items).groupBy("user_id").agg(
         F.map_from_entries(F.collect_list(F.struct("category", "affinity"))).alias("affinity")
     )
@@ -210,12 +204,12 @@ def personalized_feed(
     scored = featured.withColumn("score", F.round(ranking.linear_score() if score is None else score, 6))
     seen = F.coalesce(F.array_contains("recent", F.col("item_id")), F.lit(False))
     adjusted = ranking.adjusted_score(scored.withColumn("seen", seen), now)
-    served = _serve(adjusted, settings)
+    served = _serve(adjusted, items, settings)
     assigned = X.assign_one(profiles.select("user_id", "is_cold_start"), experiments, settings.experiment)
     return served.join(assigned, "user_id")
 
 
-def _serve(adjusted: DataFrame, settings: FeedSettings) -> DataFrame:
+def _serve(adjusted: DataFrame, items: DataFrame, settings: FeedSettings) -> DataFrame:
     """Diversity, category cap and exploration slots on one packed row per user."""
     n, epsilon, seed = settings.size, C.BANDIT_EPSILON, "bandit"
     slots = max(1, int(n * epsilon))
@@ -226,7 +220,7 @@ def _serve(adjusted: DataFrame, settings: FeedSettings) -> DataFrame:
         }
     )
     columns = ["item_id", "score", "category", "is_trending", "freshness_boosted", "mean_reward", "u"]
-    picked = ranking.mmr_pick(ranking.pack_candidates(prepared, columns), n)
+    picked = ranking.mmr_pick(prepared, items, columns, n)
     pool = F.filter("c", lambda _, i: ~F.array_contains("picked", i))
     random_order = F.array_sort(
         F.transform("pool", lambda x: F.struct(x["u"].alias("u"), x["item_id"].alias("item_id")))

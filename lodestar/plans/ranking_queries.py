@@ -13,7 +13,7 @@ from lodestar.plans.registry import query
 from lodestar.plans.views import NOW_SQL, VIEWS, freshness_sql, hash_mod_sql, uniform_sql, weight_sql
 from lodestar.sources.bindings import Tables, now
 
-DEPTH = 100
+DEPTH = C.ANN_K
 SIZE = C.FEED_SIZE
 SLOTS = 2
 
@@ -303,8 +303,7 @@ def _(t: Tables):
 
 
 def diverse_rows(t: Tables):
-    with_vectors = adjusted_rows(t).join(t.items.select("item_id", "embedding"), "item_id", "left")
-    return ranking.mmr_rerank(with_vectors, SIZE)
+    return ranking.mmr_rerank(adjusted_rows(t), t.items, SIZE)
 
 
 @query("mmr_rerank", "SELECT user_id, item_id, rank::INTEGER AS rank FROM diverse")

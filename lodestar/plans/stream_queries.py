@@ -58,11 +58,15 @@ def _(t: Tables):
 
 @query(
     "recent_items_stream",
-    """
+    f"""
 SELECT user_id, item_id, epoch_us(touched_at) AS touched_us, position::INTEGER AS position FROM (
   SELECT user_id, item_id, max(created_at) AS touched_at, row_number() OVER (
     PARTITION BY user_id ORDER BY max(created_at) DESC, item_id) AS position
-  FROM interactions GROUP BY user_id, item_id) WHERE position <= 50
+  FROM interactions GROUP BY user_id, item_id) WHERE position <= {C.RECENT_ITEMS_LIMIT}
+  -- Lists whose newest touch is older than their lifetime at the watermark have expired.
+  AND user_id IN (SELECT user_id FROM interactions GROUP BY user_id
+    HAVING epoch_ms(max(created_at)) + {C.RECENT_ITEMS_TTL_SECONDS * 1000} > (SELECT epoch_ms(max(created_at))
+      - epoch_ms(INTERVAL '{S.LATENESS}') FROM interactions))
 """,
 )
 def _(t: Tables):

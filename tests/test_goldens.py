@@ -141,7 +141,7 @@ def test_mmr_golden_and_missing_vectors(spark):
         (1, 5, 0.99, None),
     ]
     df = spark.createDataFrame(rows, "user_id long, item_id long, score double, embedding array<float>")
-    order = [r.item_id for r in ranking.mmr_rerank(df, 5).orderBy("rank").collect()]
+    order = [r.item_id for r in ranking.mmr_rerank(df.drop("embedding"), df.select("item_id", "embedding"), 5).orderBy("rank").collect()]
     assert order == [1, 3, 2, 4, 5]
 
 
