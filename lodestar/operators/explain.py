@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar import constants as C
-from lodestar.operators.training import ranker_scores
+from lodestar.operators.ranking import ranker_scores
 
 NAMES = C.RANKING_FEATURES
 

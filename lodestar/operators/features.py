@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestar import constants as C
 from lodestar import schemas
 from lodestar.functions import events as E
+from lodestar.functions.joins import spread_join
 from lodestar.functions import hashing as H
 from lodestar.functions import vectors as V
 
@@ -331,8 +332,60 @@ def pad_sequence(sequence: Column, length: int = C.SEQUENCE_LENGTH) -> Column:
     return F.concat(zeros, kept)
 
 
+def sequences_before(interactions: DataFrame, length: int = C.SEQUENCE_LENGTH) -> DataFrame:
+    """(event_id, sequence): items of the user's ``length`` events before each event, oldest first."""
+    before = Window.partitionBy("user_id").orderBy("created_at", "event_id").rowsBetween(-length, -1)
+    return interactions.select("event_id", F.collect_list("item_id").over(before).alias("sequence"))
+
+
+def daily_ctr(interactions: DataFrame) -> DataFrame:
+    """(item_id, day, ctr): click rate of all events before the day, for the days after an item's first."""
+    kind = F.col("event_type")
+    daily = interactions.groupBy("item_id", F.to_date("created_at").alias("day")).agg(
+        F.count_if(kind == "click").alias("clicks"), F.count_if(E.is_impression(kind)).alias("impressions")
+    )
+    last = interactions.agg(F.max(F.to_date("created_at"))).scalar()
+    order = Window.partitionBy("item_id").orderBy("day")
+    through = order.rowsBetween(Window.unboundedPreceding, 0)
+    ratio = E.safe_ratio(F.sum("clicks").over(through), F.sum("impressions").over(through))
+    spans = daily.withColumn("_last", last).select(
+        "item_id", ratio.alias("ctr"), F.col("day").alias("_from"), F.coalesce(F.lead("day").over(order), "_last").alias("_to")
+    )
+    days = F.sequence(F.date_add("_from", 1), F.col("_to"))
+    return spans.filter("_to > _from").select("item_id", F.explode(days).alias("day"), "ctr")
+
+
+def training_frame(interactions: DataFrame, items: DataFrame, users: DataFrame) -> DataFrame:
+    """The training columns of every event, with sequence, freshness and click rate as of the event.
+
+    ``users`` holds the vectors of the dot product; without one it is 0.0.
+    """
+    encoded = spread_join(
+        interactions.join(sequences_before(interactions), "event_id"),
+        items.select("item_id", "category", "embedding", F.col("created_at").alias("published_at")),
+        ["item_id"],
+        F.col("event_id"),
+    ).withColumn("day", F.to_date("created_at"))
+    rated = spread_join(encoded, daily_ctr(interactions), ["item_id", "day"], F.col("event_id"), "left")
+    known = rated.join(users.select("user_id", F.col("embedding").alias("u")), "user_id", "left")
+    return known.select(
+        "event_id",
+        "user_id",
+        "item_id",
+        E.list_index(F.col("category"), C.CATEGORIES).alias("category_id"),
+        E.list_index(F.col("device"), C.DEVICES).alias("device_id"),
+        F.hour("created_at").alias("time_of_day"),
+        (F.col("event_type") == "click").cast("int").alias("label"),
+        pad_sequence(F.col("sequence")).alias("recent_item_sequence"),
+        F.col("embedding").cast("array<float>").alias("content_embedding"),
+        E.freshness(F.col("published_at"), F.col("created_at")).alias("freshness_score"),
+        F.coalesce("ctr", F.lit(0.0)).alias("historical_ctr"),
+        F.coalesce(V.dot(F.col("u"), F.col("embedding")), F.lit(0.0)).alias("user_item_dot_product"),
+    )
+
+
 def categorical_encode(interactions: DataFrame, items: DataFrame) -> DataFrame:
-    joined = interactions.join(items.select("item_id", "category"), "item_id")
+    joined = spread_join(interactions, items.select("item_id", "category"), ["item_id"], F.col("event_id"))
     return joined.select(
         "user_id",
         "item_id",

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from lodestar import constants as C
 from lodestar.functions import events as E
+from lodestar.functions.joins import spread_join
 
 
 def validate_event_type(events: DataFrame) -> DataFrame:
@@ -137,7 +138,7 @@ def rate_limit(
 
     Only the first ``limit`` requests per (key, window) are ranked - the rank
     filter is applied before the shuffle - and the last of them is the cut
-    that the other requests are compared with.
+    that the other requests are compared with, dealt over several tasks.
     """
     keyed = events.withColumn("window_index", window_index(F.col("created_at"), window_seconds))
     order = Window.partitionBy("api_key", "window_index").orderBy("created_at", "event_id")
@@ -146,7 +147,7 @@ def rate_limit(
         F.max(F.struct("created_at", "event_id")).alias("cut")
     )
     arrival = F.struct("created_at", "event_id")
-    return keyed.join(cut, ["api_key", "window_index"]).select(
+    return spread_join(keyed, cut, ["api_key", "window_index"], F.col("event_id")).select(
         *events.columns, "window_index", (arrival <= F.col("cut")).alias("allowed")
     )
 

@@ -7,12 +7,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.pipeline import PipelineModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar import constants as C
 from lodestar.functions import events as E
 from lodestar.functions import hashing as H
+from lodestar.functions.joins import spread_join
 from lodestar.functions.numbering import global_row_number
 from lodestar.operators.retrieval import item_matrix
 
@@ -41,9 +44,9 @@ def ranking_features(
         .join(ctr.select("item_id", "ctr"), "item_id", "left")
         .join(popularity.select("item_id", "popularity"), "item_id", "left")
     )
-    joined = candidates.join(catalogue, "item_id", "left").join(
-        affinity, ["user_id", "category"], "left"
-    )
+    # Injected items are candidates of every user.
+    described = spread_join(candidates, catalogue, ["item_id"], F.col("user_id"), "left")
+    joined = described.join(affinity, ["user_id", "category"], "left")
     values = [
         F.col("score"),
         E.freshness(F.col("created_at"), now),
@@ -66,11 +69,24 @@ def linear_score(weights: list[float] | None = None) -> Column:
     return total
 
 
-def score_candidates(features: DataFrame, score: Column | None = None) -> DataFrame:
-    """Rank candidates of each user by a score expression over the features."""
-    value = F.round(linear_score() if score is None else score, 6)
-    scored = features.withColumn("score", value)
-    return scored.withColumn("rank", F.row_number().over(by_score("user_id")))
+def ranker_scores(model: PipelineModel, features: DataFrame) -> DataFrame:
+    """Add ``score`` in [0, 1] from a trained ranker."""
+    predicted = model.transform(features)
+    score = vector_to_array("probability")[1]
+    return predicted.withColumn("score", score).drop("features", "rawPrediction", "probability", "prediction")
+
+
+def with_score(features: DataFrame, score: Column | PipelineModel | None = None) -> DataFrame:
+    """Add ``score`` by an expression over the features (linear by default) or a trained ranker."""
+    if isinstance(score, PipelineModel):
+        scored = ranker_scores(score, features.drop("score"))
+        return scored.withColumn("score", F.round("score", 6))
+    return features.withColumn("score", F.round(linear_score() if score is None else score, 6))
+
+
+def score_candidates(features: DataFrame, score: Column | PipelineModel | None = None) -> DataFrame:
+    """Rank candidates of each user by ``with_score``."""
+    return with_score(features, score).withColumn("rank", F.row_number().over(by_score("user_id")))
 
 
 def pluggable_score(
@@ -150,17 +166,19 @@ def _mmr_picks(ids, relevance, has_vector, matrix, n: int, weight: float) -> np.
     return np.array([*picks, *tail], dtype=np.int32)[:n]
 
 
-def mmr_positions(n: int, weight: float = C.MMR_LAMBDA) -> Callable[..., Column]:
+def mmr_positions(n: int) -> Callable[..., Column]:
     """Arrow UDF over one packed row per user.
 
-    (ids, scores, has-vector flags, concatenated vectors) -> 0-based positions
-    of the n chosen items, in order.
+    (ids, scores, weight of relevance, has-vector flags, concatenated vectors)
+    -> 0-based positions of the n chosen items, in order.
     """
 
     @F.pandas_udf("array<int>")
-    def positions(ids: pd.Series, scores: pd.Series, has: pd.Series, flat: pd.Series) -> pd.Series:
+    def positions(
+        ids: pd.Series, scores: pd.Series, weights: pd.Series, has: pd.Series, flat: pd.Series
+    ) -> pd.Series:
         picked = []
-        for id_list, rel, flags, values in zip(ids, scores, has, flat):
+        for id_list, rel, weight, flags, values in zip(ids, scores, weights, has, flat):
             flags = np.asarray(flags, dtype=bool)
             matrix = np.asarray(values, dtype=float).reshape(max(int(flags.sum()), 1), -1)
             picked.append(
@@ -171,14 +189,14 @@ def mmr_positions(n: int, weight: float = C.MMR_LAMBDA) -> Callable[..., Column]
     return positions
 
 
-def mmr_positions_by_id(shared: Broadcast, n: int, weight: float = C.MMR_LAMBDA) -> Callable[..., Column]:
+def mmr_positions_by_id(shared: Broadcast, n: int) -> Callable[..., Column]:
     """The same, with the vectors looked up by id in a broadcast (sorted ids, vectors)."""
 
     @F.pandas_udf("array<int>")
-    def positions(ids: pd.Series, scores: pd.Series) -> pd.Series:
+    def positions(ids: pd.Series, scores: pd.Series, weights: pd.Series) -> pd.Series:
         known, vectors = shared.value
         picked = []
-        for id_list, rel in zip(ids, scores):
+        for id_list, rel, weight in zip(ids, scores, weights):
             own = np.asarray(id_list, dtype=np.int64)
             at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
             has = known[at] == own if len(known) else np.zeros(len(own), dtype=bool)
@@ -188,42 +206,54 @@ def mmr_positions_by_id(shared: Broadcast, n: int, weight: float = C.MMR_LAMBDA)
     return positions
 
 
-def pack_lists(ranked: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per user: ``c`` (structs of the columns), without vectors."""
-    return ranked.groupBy("user_id").agg(F.collect_list(F.struct(*columns)).alias("c"))
+def pack_lists(ranked: DataFrame, columns: list[str], weight: Column) -> DataFrame:
+    """One row per user: ``c`` (structs of the columns) and ``weight``, without vectors."""
+    return ranked.groupBy("user_id").agg(
+        F.collect_list(F.struct(*columns)).alias("c"), F.first(weight, ignorenulls=True).alias("weight")
+    )
 
 
-def pack_candidates(ranked: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per user: ``c`` (structs of the columns) and the vectors end to end.
+def pack_candidates(ranked: DataFrame, columns: list[str], weight: Column) -> DataFrame:
+    """One row per user: ``c`` (structs of the columns), ``weight`` and the vectors end to end.
 
     Lists are bounded by the retrieval depth plus the injected items.
     """
     has = F.col("embedding").isNotNull().alias("has_vector")
     return ranked.groupBy("user_id").agg(
         F.collect_list(F.struct(*columns, has)).alias("c"),
+        F.first(weight, ignorenulls=True).alias("weight"),
         F.flatten(
             F.collect_list(F.coalesce("embedding", F.array().cast("array<float>")))
         ).alias("vectors"),
     )
 
 
-def mmr_pick(ranked: DataFrame, items: DataFrame, columns: list[str], n: int, weight: float = C.MMR_LAMBDA) -> DataFrame:
+def mmr_pick(
+    ranked: DataFrame, items: DataFrame, columns: list[str], n: int, weight: Column | float = C.MMR_LAMBDA
+) -> DataFrame:
     """(user_id, c, picked): packed candidates and positions of the first n by marginal relevance.
 
+    ``weight`` balances relevance against diversity; a column gives every user
+    their own (the same on all rows of a user).
+
     Vectors whose counted size allows are broadcast once, so that candidate
     rows travel without them; else they are joined to the rows.
     """
+    own = (weight if isinstance(weight, Column) else F.lit(weight)).cast("double")
     shared = item_matrix(items)
     if shared is not None:
-        packed = pack_lists(ranked, columns)
-        return packed.withColumn("picked", mmr_positions_by_id(shared, n, weight)("c.item_id", "c.score"))
-    vectors = items.select("item_id", "embedding")
-    packed = pack_candidates(ranked.join(vectors, "item_id", "left"), columns)
-    picks = mmr_positions(n, weight)("c.item_id", "c.score", "c.has_vector", "vectors")
-    return packed.withColumn("picked", picks).drop("vectors")
+        packed = pack_lists(ranked, columns, own)
+        picks = mmr_positions_by_id(shared, n)("c.item_id", "c.score", "weight")
+    else:
+        vectors = items.select("item_id", "embedding")
+        packed = pack_candidates(ranked.join(vectors, "item_id", "left"), columns, own)
+        picks = mmr_positions(n)("c.item_id", "c.score", "weight", "c.has_vector", "vectors")
+    return packed.withColumn("picked", picks).select("user_id", "c", "picked")
 
 
-def mmr_rerank(ranked: DataFrame, items: DataFrame, n: int, weight: float = C.MMR_LAMBDA) -> DataFrame:
+def mmr_rerank(
+    ranked: DataFrame, items: DataFrame, n: int, weight: Column | float = C.MMR_LAMBDA
+) -> DataFrame:
     """First n items per user by maximal marginal relevance.
 
     ``ranked`` holds (user_id, item_id, score), ``items`` the vectors. Users are

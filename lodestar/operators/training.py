@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import CountVectorizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.pipeline import Pipeline, PipelineModel
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-from pyspark.mllib.linalg.distributed import IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +19,14 @@ from lodestar import constants as C
 from lodestar.functions import events as E
 from lodestar.functions import hashing as H
 from lodestar.functions import vectors as V
+from lodestar.functions.joins import spread_join
 from lodestar.functions.numbering import global_row_number, hash_positions
 from lodestar.operators import features
 from lodestar.operators.retrieval import vector_topk
 from lodestar.sources.storage import cut_lineage
 
-# Factor matrices that a driver-side SVD may hold.
-SVD_BYTES = 512 * 1024 * 1024
+# Rounds of subspace iteration, and columns carried beyond the wanted rank.
+SVD_ROUNDS, SVD_EXTRA = 6, 8
 
 # ---- negatives -------------------------------------------------------------------------
 
@@ -48,7 +50,7 @@ def uniform_negatives(
     """
     index = dense_index(catalogue)
     size = catalogue.agg(F.count("*")).scalar()
-    own = positives.select("event_id", "user_id", "item_id").join(index, "item_id")
+    own = spread_join(positives.select("event_id", "user_id", "item_id"), index, ["item_id"], F.col("event_id"))
     sized = own.withColumn("_size", size)
     draws = sized.withColumn("j", F.explode(F.array(*[F.lit(j) for j in range(1, ratio + 1)])))
     draw = H.hash_index(seed, F.col("event_id"), F.col("j"), size=F.col("_size") - 1)
@@ -107,52 +109,46 @@ def shown_negatives(
 
 
 def training_examples(
-    positives: DataFrame,
-    negatives: DataFrame,
-    items: DataFrame,
-    ctr: DataFrame,
-    recent: DataFrame,
-    now: Column,
+    positives: DataFrame, negatives: DataFrame, items: DataFrame, interactions: DataFrame
 ) -> DataFrame:
-    """Positive (j = 0) and negative rows with item attributes and user context.
+    """Positive (j = 0) and negative rows with item attributes and user context as of the event.
 
-    ``positives`` holds (event_id, user_id, item_id, device, created_at).
+    ``positives`` holds (event_id, user_id, item_id, device, created_at) of
+    events in ``interactions``. The sequence ends before the event, click rates
+    count the days before it.
     """
     rows = positives.select("event_id", "user_id", F.lit(0).alias("j"), "item_id").unionByName(
         negatives.select("event_id", "user_id", "j", "item_id")
     )
     context = positives.select(
         "event_id",
+        "created_at",
+        F.to_date("created_at").alias("day"),
         E.list_index(F.col("device"), C.DEVICES).alias("device_id"),
         F.hour("created_at").alias("time_of_day"),
-    )
-    oldest_first = F.array_sort(F.collect_list(F.struct((-F.col("position")).alias("p"), "item_id")))
-    sequences = recent.groupBy("user_id").agg(oldest_first.alias("s"))
-    attributes = items.join(ctr.select("item_id", "ctr"), "item_id", "left").select(
+    ).join(features.sequences_before(interactions), "event_id")
+    attributes = items.select(
         "item_id",
         E.list_index(F.col("category"), C.CATEGORIES).alias("category_id"),
-        E.freshness(F.col("created_at"), now).alias("freshness_score"),
-        F.coalesce("ctr", F.lit(0.0)).alias("historical_ctr"),
+        F.col("created_at").alias("published_at"),
     )
-    return (
-        rows.join(attributes, "item_id")
-        .join(context, "event_id")
-        .join(sequences, "user_id", "left")
-        .select(
-            "event_id",
-            "j",
-            "user_id",
-            "item_id",
-            (F.col("j") == 0).cast("int").alias("label"),
-            "category_id",
-            "freshness_score",
-            "historical_ctr",
-            "device_id",
-            "time_of_day",
-            features.pad_sequence(
-                F.coalesce(F.col("s.item_id"), F.array().cast("array<bigint>"))
-            ).alias("recent_item_sequence"),
-        )
+    # Examples of an event stay together; busy items are dealt over several tasks.
+    described = spread_join(rows.join(context, "event_id"), attributes, ["item_id"], F.struct("event_id", "j"))
+    rated = spread_join(
+        described, features.daily_ctr(interactions), ["item_id", "day"], F.struct("event_id", "j"), "left"
+    )
+    return rated.select(
+        "event_id",
+        "j",
+        "user_id",
+        "item_id",
+        (F.col("j") == 0).cast("int").alias("label"),
+        "category_id",
+        E.freshness(F.col("published_at"), F.col("created_at")).alias("freshness_score"),
+        F.coalesce("ctr", F.lit(0.0)).alias("historical_ctr"),
+        "device_id",
+        "time_of_day",
+        features.pad_sequence(F.col("sequence")).alias("recent_item_sequence"),
     )
 
 
@@ -243,56 +239,115 @@ def click_counts(interactions: DataFrame) -> DataFrame:
     return positive.groupBy("user_id", "item_id").agg(F.count("*").alias("n"))
 
 
-def cf_svd(pairs: DataFrame, k: int = C.CF_FACTORS) -> tuple[DataFrame, DataFrame]:
-    """Truncated SVD of the binary matrix: (user factors U*S, item factors V).
+def cf_svd(
+    pairs: DataFrame, k: int = C.CF_FACTORS, rounds: int = SVD_ROUNDS, seed: str = "svd"
+) -> tuple[DataFrame, DataFrame]:
+    """Truncated SVD of the binary (user, item) matrix: (user factors U*S, item factors V).
 
-    The item factors pass through the driver in MLlib's SVD, so their size is
-    checked; beyond it use ``cf_als``.
+    Subspace iteration on the pairs: item vectors are multiplied by the matrix
+    and its transpose by joins and sums, then made orthonormal by their Gram
+    matrix. Only width x width matrices reach the driver, whatever the number
+    of users and items.
     """
-    spark = pairs.sparkSession
-    n_items = pairs.select("item_id").distinct().count()
-    if n_items * k * 8 > SVD_BYTES:
-        raise ValueError("catalogue too large for a truncated SVD; use cf_als")
-    lists = pairs.groupBy("user_id").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    vectorizer = CountVectorizer(inputCol="items", outputCol="row", binary=True, vocabSize=n_items)
-    counts = vectorizer.fit(lists)
-    rows = MLUtils.convertVectorColumnsFromML(counts.transform(lists).select("user_id", "row"), "row")
-    svd = IndexedRowMatrix(rows).computeSVD(min(k, n_items), computeU=True)
-    sigma = [float(x) for x in svd.s]
-    users = svd.U.rows.map(
-        lambda r: (int(r.index), [float(a * b) for a, b in zip(r.vector, sigma)])
-    ).toDF("user_id bigint, embedding array<double>")
-    v = svd.V.toArray()
-    items = spark.createDataFrame(
-        [(int(item), v[i].tolist()) for i, item in enumerate(counts.vocabulary)],
-        "item_id bigint, embedding array<double>",
+    width = k + SVD_EXTRA
+    pairs = cut_lineage(pairs.select("user_id", "item_id").distinct())
+    draws = F.transform(
+        F.sequence(F.lit(0), F.lit(width - 1)), lambda j: H.hash_uniform(seed, F.col("item_id"), j) - 0.5
+    )
+    items = pairs.select("item_id").distinct().withColumn("v", draws)
+    for _ in range(rounds):
+        users = _gather(items, pairs, "item_id", "user_id", width)
+        items = _orthonormal(cut_lineage(_gather(users, pairs, "user_id", "item_id", width)), width)
+    users = cut_lineage(_gather(items, pairs, "item_id", "user_id", width))
+    # The rotation that orders the subspace by singular values.
+    values, rotation = np.linalg.eigh(gram(users, width))
+    rotation = rotation[:, np.argsort(values)[::-1][:k]]
+    return (
+        _times(users, rotation).select("user_id", F.col("v").alias("embedding")),
+        _times(items, rotation).select("item_id", F.col("v").alias("embedding")),
     )
-    return users, items
+
+
+def _gather(vectors: DataFrame, pairs: DataFrame, at: str, to: str, width: int) -> DataFrame:
+    """Sum of the vectors that each ``to`` is paired with (Spark splits the join at busy keys)."""
+    return pairs.join(vectors, at).groupBy(to).agg(V.vector_sum("v", width).alias("v"))
+
+
+def gram(vectors: DataFrame, width: int) -> np.ndarray:
+    """width x width matrix of the products of the columns, summed within the tasks first."""
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((width, width))
+        for frame in frames:
+            if len(frame):
+                matrix = np.stack(frame["v"].to_numpy())
+                total += matrix.T @ matrix
+        yield pd.DataFrame({"i": np.arange(width), "row": list(total)})
+
+    rows = vectors.select("v").mapInPandas(partial, "i int, row array<double>")
+    summed = rows.groupBy("i").agg(V.vector_sum("row", width).alias("row")).collect()
+    out = np.zeros((width, width))
+    for r in summed:
+        out[r["i"]] = r["row"]
+    return out
+
+
+def _times(vectors: DataFrame, matrix: np.ndarray) -> DataFrame:
+    """Every vector times a small matrix."""
+
+    @F.pandas_udf("array<double>")
+    def product(column: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(column.to_numpy()) @ matrix)) if len(column) else column
+
+    return vectors.withColumn("v", product("v"))
+
+
+def _orthonormal(vectors: DataFrame, width: int) -> DataFrame:
+    """Columns made orthonormal over all rows; directions without weight become zero."""
+    values, directions = np.linalg.eigh(gram(vectors, width))
+    keep = values > max(values.max(), 0) * 1e-12
+    scale = np.where(keep, 1 / np.sqrt(np.where(keep, values, 1)), 0)
+    return _times(vectors, directions * scale)
 
 
 def cf_als(
-    pairs: DataFrame, rank: int = C.CF_FACTORS, reg: float = 0.05, iterations: int = 5, seed: int = 7
+    pairs: DataFrame, rank: int = C.CF_FACTORS, reg: float = 0.05, iterations: int = 10, seed: int = 7
 ) -> tuple[DataFrame, DataFrame]:
-    """Implicit-feedback ALS: (user factors, item factors).
-
-    ALS takes 32-bit ids; ids must lie in that range.
-    """
+    """Implicit-feedback ALS: (user factors, item factors). Ids of any size are indexed densely first."""
+    users = cut_lineage(_dense(pairs, "user_id"))
+    items = cut_lineage(_dense(pairs, "item_id"))
     als = ALS(
         rank=rank,
         maxIter=iterations,
         regParam=reg,
         implicitPrefs=True,
-        userCol="user_id",
-        itemCol="item_id",
+        userCol="user",
+        itemCol="item",
         ratingCol="n",
         seed=seed,
         **_blocks(pairs),
     )
-    ratings = pairs.select(F.col("user_id").cast("int"), F.col("item_id").cast("int"), F.col("n").cast("float"))
-    model = als.fit(ratings)
-    users = model.userFactors.select(F.col("id").cast("bigint").alias("user_id"), F.col("features").alias("embedding"))
-    items = model.itemFactors.select(F.col("id").cast("bigint").alias("item_id"), F.col("features").alias("embedding"))
-    return users, items
+    model = als.fit(_ratings(pairs, users, items))
+    named = [
+        factors.withColumn("id", F.col("id").cast("bigint")).join(ids, "id").select(key, F.col("features").alias("embedding"))
+        for factors, ids, key in (
+            (model.userFactors, users.withColumnRenamed("user", "id"), "user_id"),
+            (model.itemFactors, items.withColumnRenamed("item", "id"), "item_id"),
+        )
+    ]
+    return named[0], named[1]
+
+
+def _dense(pairs: DataFrame, key: str) -> DataFrame:
+    """Distinct ids with their positions 0..N-1."""
+    numbered = global_row_number(pairs.select(key).distinct(), key, "_n")
+    return numbered.select(key, (F.col("_n") - 1).alias(key.removesuffix("_id")))
+
+
+def _ratings(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+    indexed = spread_join(pairs, users, ["user_id"], F.col("item_id"))
+    indexed = spread_join(indexed, items, ["item_id"], F.col("user_id"))
+    return indexed.select(F.col("user").cast("int"), F.col("item").cast("int"), F.col("n").cast("float"))
 
 
 def _blocks(df: DataFrame) -> dict[str, int]:
@@ -312,14 +367,16 @@ def recommend_from_factors(
     return vector_topk(users.join(lists, "user_id", "left"), items, n, unit=False, skip="skip")
 
 
-def tune_factorization(pairs: DataFrame, ranks: list[int], regs: list[float], seed: int = 7) -> DataFrame:
+def tune_factorization(
+    pairs: DataFrame, ranks: list[int], regs: list[float], seed: int = 7, iterations: int = 10
+) -> DataFrame:
     """Validation RMSE of each (rank, reg) of an explicit ALS on the counts."""
     als = ALS(
-        userCol="user_id",
-        itemCol="item_id",
+        userCol="user",
+        itemCol="item",
         ratingCol="n",
         coldStartStrategy="drop",
-        maxIter=3,
+        maxIter=iterations,
         seed=seed,
         **_blocks(pairs),
     )
@@ -332,8 +389,8 @@ def tune_factorization(pairs: DataFrame, ranks: list[int], regs: list[float], se
         parallelism=2,
         seed=seed,
     )
-    ratings = pairs.select(F.col("user_id").cast("int"), F.col("item_id").cast("int"), F.col("n").cast("float"))
-    found = search.fit(ratings)
+    ratings = _ratings(pairs, _dense(pairs, "user_id"), _dense(pairs, "item_id"))
+    found = search.fit(cut_lineage(ratings))
     rows = [
         (p[als.rank], p[als.regParam], float(m)) for p, m in zip(grid, found.validationMetrics)
     ]
@@ -358,13 +415,6 @@ def train_ranker(
     return Pipeline(stages=[assembler, trees]).fit(examples)
 
 
-def ranker_scores(model: PipelineModel, features_df: DataFrame) -> DataFrame:
-    """Add ``score`` in [0, 1] from a trained ranker."""
-    predicted = model.transform(features_df)
-    score = vector_to_array("probability")[1]
-    return predicted.withColumn("score", score).drop("features", "rawPrediction", "probability", "prediction")
-
-
 def save_ranker(model: PipelineModel, path: str) -> None:
     model.write().save(path)
 

@@ -27,26 +27,6 @@ def us(column: str, alias: str | None = None):
     return E.micros(F.col(column)).alias(alias or column)
 
 
-@query(
-    "scan_training_frame",
-    f"""
-SELECT i.user_id, i.item_id,
-  CAST(list_position({sql_list(C.CATEGORIES)}, t.category) - 1 AS INTEGER) AS category_id,
-  CAST(list_position({sql_list(C.DEVICES)}, i.device) - 1 AS INTEGER) AS device_id,
-  CAST(hour(i.created_at) AS INTEGER) AS time_of_day,
-  CASE WHEN i.event_type = 'click' THEN 1 ELSE 0 END AS label
-FROM interactions i JOIN items t USING (item_id)
-""",
-)
-def _(t: Tables):
-    encoded = features.categorical_encode(t.interactions, t.items)
-    path = new_path(t.spark, "training-frame")
-    encoded.write.parquet(path)
-    return event_log.scan_training_frame(t.spark, path).select(
-        "user_id", "item_id", "category_id", "device_id", "time_of_day", "label"
-    )
-
-
 @query(
     "write_training_snapshot",
     """

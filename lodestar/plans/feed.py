@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml.pipeline import PipelineModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar import constants as C
 from lodestar.functions import events as E
 from lodestar.functions import hashing as H
+from lodestar.functions.joins import spread_join
 from lodestar.operators import experiments as X
 from lodestar.operators import features, ranking, retrieval
 from lodestar.sources.storage import cut_lineage
@@ -172,13 +174,14 @@ def personalized_feed(
     experiments: DataFrame,
     now: Column,
     settings: FeedSettings,
-    score: Column | None = None,
+    score: Column | PipelineModel | None = None,
 ) -> DataFrame:
     """(user_id, rank, item_id, score, category, flags, variant) for every user.
 
     The events are scanned once, into (user, item) touches; profiles of users
     and counters of items are derived from these and stored, as they are
-    refreshed apart from requests. After retrieval each user's candidates live
+    refreshed apart from requests. ``score`` is an expression over the ranking
+    features or a trained ranker. After retrieval each user's candidates live
     in one partition: ranking, diversity, exploration and the category cap work
     on one packed row per user.
     """
@@ -188,7 +191,7 @@ def personalized_feed(
     exploration, trending, flags = shared_lists_of(stats)
     catalogue = item_profiles(stats, items, flags, now)
     found = packed_candidates(profiles, items, exploration, trending, settings.depth)
-    joined = found.join(catalogue, "item_id", "left")
+    joined = spread_join(found, catalogue, ["item_id"], F.col("user_id"), "left")
     affinity = F.coalesce(F.element_at("affinity", F.col("category")), F.lit(0.0))
     zero = F.lit(0.0)
     values = [
@@ -201,7 +204,7 @@ def personalized_feed(
         F.coalesce("popularity", zero),
     ]
     featured = joined.withColumns(dict(zip(C.RANKING_FEATURES, values)))
-    scored = featured.withColumn("score", F.round(ranking.linear_score() if score is None else score, 6))
+    scored = ranking.with_score(featured, score)
     seen = F.coalesce(F.array_contains("recent", F.col("item_id")), F.lit(False))
     adjusted = ranking.adjusted_score(scored.withColumn("seen", seen), now)
     served = _serve(adjusted, items, settings)

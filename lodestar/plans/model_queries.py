@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodestar import constants as C
@@ -13,7 +14,9 @@ from lodestar.plans.feature_queries import DIM, rounded, rounded_sql
 from lodestar.plans.ranking_queries import feature_rows, serving
 from lodestar.plans.registry import query
 from lodestar.plans.views import HOLDOUT_SQL, VIEWS, freshness_sql, sql_list, uniform_sql, weight_sql
+from lodestar.sources import event_log
 from lodestar.sources.bindings import Tables, holdout_start, now
+from lodestar.sources.storage import cut_lineage, new_path
 
 LIST_SIZE = 20
 
@@ -164,28 +167,22 @@ def _(t: Tables):
 @query(
     "training_examples",
     f"""
-seqs AS (SELECT user_id, list_concat(list_transform(range({C.SEQUENCE_LENGTH} - count(*)), lambda x: 0),
-    list(item_id ORDER BY position DESC)) AS seq FROM recent GROUP BY user_id)
+picked AS (SELECT r.event_id, r.j, r.user_id, r.item_id, p.device, p.created_at, CAST(p.created_at AS DATE) AS day
+  FROM (SELECT event_id, user_id, 0 AS j, item_id FROM clicks
+      UNION ALL SELECT event_id, user_id, j, item_id FROM negatives) r JOIN clicks p ON p.event_id = r.event_id)
 ---
 SELECT r.event_id, r.j::INTEGER AS j, r.user_id, r.item_id, CASE WHEN r.j = 0 THEN 1 ELSE 0 END AS label,
   CAST(list_position({sql_list(C.CATEGORIES)}, i.category) - 1 AS INTEGER) AS category_id,
-  round({freshness_sql('i.created_at')}, 6) AS freshness_score, round(coalesce(c.ctr, 0), 6) AS historical_ctr,
-  CAST(list_position({sql_list(C.DEVICES)}, p.device) - 1 AS INTEGER) AS device_id,
-  CAST(hour(p.created_at) AS INTEGER) AS time_of_day, array_to_string(s.seq, ',') AS recent_item_sequence
-FROM (SELECT event_id, user_id, 0 AS j, item_id FROM clicks
-      UNION ALL SELECT event_id, user_id, j, item_id FROM negatives) r
-JOIN clicks p ON p.event_id = r.event_id JOIN items i ON i.item_id = r.item_id
-LEFT JOIN ctrs c ON c.item_id = r.item_id JOIN seqs s ON s.user_id = r.user_id
+  round({freshness_sql('i.created_at', 'r.created_at')}, 6) AS freshness_score, round(coalesce(c.ctr, 0), 6) AS historical_ctr,
+  CAST(list_position({sql_list(C.DEVICES)}, r.device) - 1 AS INTEGER) AS device_id,
+  CAST(hour(r.created_at) AS INTEGER) AS time_of_day, array_to_string(s.seq, ',') AS recent_item_sequence
+FROM picked r JOIN items i ON i.item_id = r.item_id JOIN sequences s ON s.event_id = r.event_id
+ASOF LEFT JOIN ctr_through c ON c.item_id = r.item_id AND r.day > c.day
 """,
 )
 def _(t: Tables):
     rows = training.training_examples(
-        clicks(t),
-        uniform(t),
-        t.items,
-        features.item_ctr(t.interactions),
-        features.recent_items(t.interactions),
-        now(),
+        clicks(t), uniform(t), t.items, t.interactions
     )
     return rows.withColumns(
         {
@@ -196,6 +193,42 @@ def _(t: Tables):
     )
 
 
+@query(
+    "scan_training_frame",
+    f"""
+SELECT i.user_id, i.item_id,
+  CAST(list_position({sql_list(C.CATEGORIES)}, t.category) - 1 AS INTEGER) AS category_id,
+  CAST(list_position({sql_list(C.DEVICES)}, i.device) - 1 AS INTEGER) AS device_id,
+  CAST(hour(i.created_at) AS INTEGER) AS time_of_day,
+  CASE WHEN i.event_type = 'click' THEN 1 ELSE 0 END AS label,
+  array_to_string(q.seq, ',') AS recent_item_sequence, len(t.embedding)::INTEGER AS content_dim,
+  round(t.embedding[1], 6) AS content_first, round({freshness_sql('t.created_at', 'i.created_at')}, 6) AS freshness_score,
+  round(coalesce(c.ctr, 0), 6) AS historical_ctr,
+  round(coalesce(list_inner_product(v.vec, t.embedding), 0), 6) AS user_item_dot_product
+FROM (SELECT *, CAST(created_at AS DATE) AS day FROM interactions) i JOIN items t ON t.item_id = i.item_id
+JOIN sequences q ON q.event_id = i.event_id LEFT JOIN serving v ON v.user_id = i.user_id
+ASOF LEFT JOIN ctr_through c ON c.item_id = i.item_id AND i.day > c.day
+""",
+)
+def _(t: Tables):
+    frame = features.training_frame(t.interactions, t.items, serving(t))
+    path = new_path(t.spark, "training-frame")
+    frame.write.parquet(path)
+    back = event_log.scan_training_frame(t.spark, path)
+    return back.select(
+        "user_id",
+        "item_id",
+        "category_id",
+        "device_id",
+        "time_of_day",
+        "label",
+        F.array_join("recent_item_sequence", ",").alias("recent_item_sequence"),
+        F.size("content_embedding").alias("content_dim"),
+        F.round(F.col("content_embedding")[0].cast("double"), 6).alias("content_first"),
+        *[F.round(c, 6).alias(c) for c in ("freshness_score", "historical_ctr", "user_item_dot_product")],
+    )
+
+
 _SPLIT_U = uniform_sql("'split:' || event_id")
 
 
@@ -251,10 +284,72 @@ def _(t: Tables):
 @query("cf_als")
 def _(t: Tables):
     pairs = training.click_counts(t.purchases)
-    users, items = training.cf_als(pairs, rank=16)
+    users, items = training.cf_als(pairs)
     return training.recommend_from_factors(users, items, LIST_SIZE)
 
 
+_LISTS_SQL = """
+SELECT user_id, least({size}, (SELECT count(DISTINCT item_id) FROM {pairs}){seen})::BIGINT AS n,
+  0::BIGINT AS seen, true AS ranked FROM {pairs} p GROUP BY user_id"""
+
+
+def list_properties(lists, pairs):
+    """Per user of the pairs: length of the list, items of the pairs in it, ranks without gaps."""
+    marked = pairs.select("user_id", "item_id").distinct().withColumn("own", F.lit(1))
+    joined = lists.join(marked, ["user_id", "item_id"], "left")
+    return joined.groupBy("user_id").agg(
+        F.count("*").alias("n"),
+        F.count("own").alias("seen"),
+        ((F.min("rank") == 1) & (F.max("rank") == F.count("*"))).alias("ranked"),
+    )
+
+
+VIEWS["past_pairs"] = f"""
+SELECT DISTINCT user_id, item_id FROM interactions WHERE created_at < {HOLDOUT_SQL} AND {weight_sql()} > 0"""
+
+
+@query(
+    "cf_svd_properties",
+    _LISTS_SQL.format(size=LIST_SIZE, pairs="past_pairs", seen=" - count(DISTINCT item_id)"),
+)
+def _(t: Tables):
+    pairs = training.click_counts(before_holdout(t))
+    users, items = training.cf_svd(pairs)
+    return list_properties(training.recommend_from_factors(users, items, LIST_SIZE, exclude=pairs), pairs)
+
+
+@query("cf_svd_orthogonality", f"SELECT {C.CF_FACTORS}::BIGINT AS factors, true AS orthonormal, true AS ordered")
+def _(t: Tables):
+    from lodestar.functions.vectors import vector_sum
+
+    users, items = training.cf_svd(training.click_counts(before_holdout(t)))
+    k = C.CF_FACTORS
+    gram = training.gram(items.select(F.col("embedding").alias("v")), k)
+    sizes = users.select(F.transform("embedding", lambda x: x * x).alias("v")).agg(vector_sum("v", k).alias("s")).first()
+    ordered = all(a >= b - 1e-6 for a, b in zip(sizes["s"], sizes["s"][1:]))
+    straight = bool(abs(gram - np.eye(k)).max() < 1e-6)
+    return t.spark.createDataFrame([(k, straight, ordered)], "factors bigint, orthonormal boolean, ordered boolean")
+
+
+@query("cf_als_properties", "SELECT DISTINCT user_id, 20::BIGINT AS n, true AS ranked FROM purchases")
+def _(t: Tables):
+    pairs = training.click_counts(t.purchases)
+    users, items = training.cf_als(pairs)
+    lists = training.recommend_from_factors(users, items, LIST_SIZE)
+    return list_properties(lists, pairs).select("user_id", "n", "ranked")
+
+
+@query("score_candidates_gbt", "SELECT user_id, count(*) AS n, true AS ranked, true AS bounded FROM feats GROUP BY user_id")
+def _(t: Tables):
+    model = training.train_ranker(cut_lineage(labelled_features(t)), rounds=ROUNDS)
+    scored = ranking.score_candidates(feature_rows(t), model)
+    return scored.groupBy("user_id").agg(
+        F.count("*").alias("n"),
+        ((F.min("rank") == 1) & (F.max("rank") == F.count("*"))).alias("ranked"),
+        F.every(F.col("score").between(0.0, 1.0)).alias("bounded"),
+    )
+
+
 @query("tune_factorization")
 def _(t: Tables):
     return training.tune_factorization(training.click_counts(t.purchases), [8, 16], [0.05, 0.5])
@@ -384,11 +479,18 @@ def _(t: Tables):
 
 
 def labelled_features(t: Tables):
-    """Ranking features of touched pairs; the label says whether a click occurred."""
-    touched = t.interactions.groupBy("user_id", "item_id").agg(
+    """Ranking features of pairs touched in the held-out period; the label says whether they were clicked.
+
+    Features come from the events before that period, so no row sees its label.
+    """
+    past = before_holdout(t)
+    later = t.interactions.filter(F.col("created_at") >= holdout_start())
+    touched = later.groupBy("user_id", "item_id").agg(
         F.max((F.col("event_type") == "click").cast("int")).alias("label")
     )
-    vectors = serving(t).select("user_id", F.col("embedding").alias("u"))
+    learned = features.user_embeddings(past, t.items, DIM)
+    served = features.serving_embeddings(t.users, learned, DIM)
+    vectors = served.select("user_id", F.col("embedding").alias("u"))
     item_vectors = t.items.select("item_id", F.col("embedding").alias("v"))
     from lodestar.functions.vectors import dot
 
@@ -397,28 +499,24 @@ def labelled_features(t: Tables):
         .join(vectors, "user_id")
         .select("user_id", "item_id", "label", dot(F.col("u"), F.col("v")).alias("score"))
     )
-    return feed.candidate_features(scored, t.interactions, t.items, now())
+    return feed.candidate_features(scored, past, t.items, holdout_start())
 
 
-ROUNDS = 10
+ROUNDS = 50
 
 
 @query("train_ranker")
 def _(t: Tables):
-    from lodestar.sources.storage import cut_lineage
-
     examples = training.train_val_split(
         cut_lineage(labelled_features(t)).withColumn("pair", F.concat_ws("-", "user_id", "item_id")), "pair"
     )
     model = training.train_ranker(examples.filter("NOT is_validation"), rounds=ROUNDS)
-    scored = training.ranker_scores(model, examples.filter("is_validation"))
+    scored = ranking.ranker_scores(model, examples.filter("is_validation"))
     return V.auc(scored.withColumn("model", F.lit("gbt")), ["model"])
 
 
 @query("feature_attribution_gbt")
 def _(t: Tables):
-    from lodestar.sources.storage import cut_lineage
-
     examples = cut_lineage(labelled_features(t))
     model = training.train_ranker(examples, rounds=ROUNDS)
     return explain.coalition_attribution(examples, model, ["user_id", "item_id"])

@@ -106,6 +106,15 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "experiments": f"""
 SELECT * FROM (VALUES {_EXPERIMENT_ROWS})
   t(name, control_low, control_high, treatment_low, treatment_high, status)""",
+    "sequences": f"""
+SELECT event_id, list_concat(list_transform(range({C.SEQUENCE_LENGTH} - len(s)), lambda x: 0), s) AS seq FROM (
+  SELECT event_id, coalesce(list(item_id) OVER (PARTITION BY user_id ORDER BY created_at, event_id
+    ROWS BETWEEN {C.SEQUENCE_LENGTH} PRECEDING AND 1 PRECEDING), []) AS s FROM interactions)""",
+    "ctr_through": f"""
+SELECT item_id, day, coalesce(sum(c) OVER w / nullif(sum(n) OVER w, 0)::DOUBLE, 0) AS ctr FROM (
+  SELECT item_id, CAST(created_at AS DATE) AS day, count(*) FILTER (event_type = 'click') AS c,
+    count(*) FILTER ({IMPRESSION_SQL}) AS n FROM interactions GROUP BY ALL)
+WINDOW w AS (PARTITION BY item_id ORDER BY day)""",
     "impressions": f"""
 SELECT user_id, CAST(created_at AS DATE) AS day, item_id,
   max(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS clicked
