@@ -263,6 +263,11 @@ class _Page:
         if text:
             self.parts.append(text)
 
+    def pre_line(self) -> None:
+        """Ends a line of preformatted text; its spaces stay."""
+        line, self.parts = "".join(self.parts), []
+        self.block([line])
+
     def block(self, lines: list[str]) -> None:
         """Lines to be kept as they are."""
         self.break_line()
@@ -290,7 +295,7 @@ def render(root: Node, hidden: set[str], depth: int = 0) -> list[str]:
                 first, *others = text.split("\n")
                 page.parts.append(first.expandtabs(4))
                 for line in others:
-                    page.block(["".join(page.parts)] if "".join(page.parts).strip() else [""])
+                    page.pre_line()
                     page.parts = [line.expandtabs(4)]
             else:
                 page.text(_SPACES.sub(" ", text))
@@ -346,6 +351,8 @@ def _open_block(page: _Page, node: Node, tag: str, stack: list, counters: list,
         children = [c for c in children if isinstance(c, Node) and c.tag == "summary"]
 
     def close() -> None:
+        if tag == "pre":
+            page.pre_line()
         page.break_line(apart)
         page.indent = before
         if tag in LISTS:
