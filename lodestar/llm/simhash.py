@@ -15,6 +15,11 @@ A pair of nodes is also left when all their leaves are known to be connected,
 so a dense cluster doesn't cost the square of its size, and only links that
 join something leave a task. No link is lost for the components.
 
+One fingerprint of 64 bits finds a pair within the budget by chance: bits whose
+counts are nearly even flip. With several ROUNDS a text gets as many independent
+fingerprints (the shingle hashes are scrambled anew for each), and texts are
+linked if any of them are; the components are those of the union.
+
 * A null or empty text has fingerprint zero, which links like any other.
 * Fewer words than a shingle: the whole word sequence is the only shingle.
 * Equal texts share a fingerprint; they never meet as pairs.
@@ -44,11 +49,26 @@ SEED = 42
 CHUNK, FRONT = 200_000, 500_000
 
 
+def _scrambled(hashes: np.ndarray, turn: int) -> np.ndarray:
+    """Hashes of the given round: as they are in the first, mixed with its number later."""
+    if not turn:
+        return hashes
+    x = hashes + np.uint64(turn * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     """Unsigned 64-bit fingerprint."""
+    return simhashes(text, shingle)[0]
+
+
+def simhashes(text: str | None, shingle: int = SHINGLE, rounds: int = 1) -> list[int]:
+    """Unsigned 64-bit fingerprints of every round."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return [0] * rounds
     data = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     ends = np.cumsum([len(w) + 1 for w in words])
@@ -56,27 +76,31 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     stops = (ends[-n:] - 1).tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(data[a:b], SEED) for a, b in zip(starts, stops)], dtype=np.uint64)
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 65_536):
-        part = hashes[at : at + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = (2 * ones > n).astype(np.uint64)
-    return int((bits << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64))
-
-
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id``, ``fp`` (the fingerprint as a signed 64-bit integer) of every row."""
+    out = []
+    for turn in range(rounds):
+        ones = np.zeros(64, dtype=np.int64)
+        for at in range(0, n, 65_536):
+            part = _scrambled(hashes[at : at + 65_536], turn).astype("<u8").view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+        bits = (2 * ones > n).astype(np.uint64)
+        out.append(int((bits << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64)))
+    return out
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, rounds: int = 1) -> DataFrame:
+    """``doc_id``, ``fps`` (a fingerprint per round, as signed 64-bit integers) of every row."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([simhash(t, shingle) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"]
-            )
+            found = [simhashes(t, shingle, rounds) for t in batch.column("text").to_pylist()]
+            flat = np.array(found, dtype=np.uint64).view(np.int64).ravel()
+            places = pa.array(np.arange(len(found) + 1) * rounds, pa.int32())
+            lists = pa.ListArray.from_arrays(places, pa.array(flat, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "fps"])
 
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return slim.mapInArrow(run, "doc_id bigint, fp bigint")
+    return slim.mapInArrow(run, "doc_id bigint, fps array<bigint>")
 
 
 def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -167,6 +191,10 @@ def trie_links(
     return a, b
 
 
+#: Where a key holds its round, above sub-block, block and bits.
+_TURN = 40
+
+
 def _join_runs(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
     """Links of a partition sorted by (sub, key, rest); runs of equal (sub, key) are kept together."""
     held: list[np.ndarray] = []
@@ -174,7 +202,7 @@ def _join_runs(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.Re
 
     def links(table: np.ndarray) -> pa.RecordBatch:
         sub, key, rest, fp = table
-        out_a, out_b = [], []
+        out_a, out_b, turns = [], [], []
         for kind, bits in ((0, 64 - BLOCK_BITS), (1, 64 - BLOCK_BITS - SUB_BITS)):
             # Runs of unsplit subtrees and of sub-blocks have tries of different depth.
             mine = np.flatnonzero((sub >= 0) == bool(kind))
@@ -185,10 +213,10 @@ def _join_runs(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.Re
             member = np.flatnonzero(root != np.arange(len(mine)))
             out_a.append(fp[mine[member]])
             out_b.append(fp[mine[root[member]]])
+            turns.append(key[mine[member]] >> _TURN)
         empty = np.zeros(0, dtype=np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([empty, *out_a])), pa.array(np.concatenate([empty, *out_b]))], names=["a", "b"]
-        )
+        arrays = [pa.array(np.concatenate([empty, *x])) for x in (turns, out_a, out_b)]
+        return pa.RecordBatch.from_arrays(arrays, names=["turn", "a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -212,7 +240,7 @@ def _bits(column, shift: int, width: int):
 
 
 def fingerprint_links(distinct: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
-    """Links ``a``, ``b`` that connect all fingerprints (``fp``) within the budget."""
+    """Links ``turn``, ``a``, ``b`` that connect all fingerprints (``turn``, ``fp``) of a round within the budget."""
     if budget >= BLOCKS:
         raise ValueError("the budget must be below the number of blocks")
     fp = F.col("fp")
@@ -221,10 +249,10 @@ def fingerprint_links(distinct: DataFrame, budget: int = BUDGET, hot: int = HOT)
         shift = block * BLOCK_BITS
         low = fp.bitwiseAND((1 << shift) - 1) if shift else F.lit(0).cast("bigint")
         high = F.shiftrightunsigned(fp, shift + BLOCK_BITS) if shift + BLOCK_BITS < 64 else F.lit(0).cast("bigint")
-        key = _bits(fp, shift, BLOCK_BITS) + (block << BLOCK_BITS)
+        key = _bits(fp, shift, BLOCK_BITS) + (block << BLOCK_BITS) + F.shiftleft(F.col("turn").cast("bigint"), _TURN)
         roots.append(F.struct(key.alias("top"), F.shiftleft(high, shift).bitwiseOR(low).alias("other")))
     rows = distinct.select("fp", F.explode(F.array(*roots)).alias("x")).select("fp", "x.top", "x.other")
-    # At most BLOCKS x 2^BLOCK_BITS rows.
+    # At most BLOCKS x 2^BLOCK_BITS rows a round.
     split = rows.groupBy("top").count().where(F.col("count") > hot).select(F.col("top").alias("_top"))
     marked = rows.join(F.broadcast(split), F.col("top") == F.col("_top"), "left")
     other = F.col("other")
@@ -234,7 +262,9 @@ def fingerprint_links(distinct: DataFrame, budget: int = BUDGET, hot: int = HOT)
         low = other.bitwiseAND((1 << shift) - 1) if shift else F.lit(0).cast("bigint")
         above = 48 - shift - SUB_BITS
         high = F.shiftrightunsigned(other, shift + SUB_BITS) if above else F.lit(0).cast("bigint")
-        key = F.shiftleft(F.col("top"), SUB_BITS).bitwiseOR(_bits(other, shift, SUB_BITS)) + (sub << 32)
+        inside = F.col("top").bitwiseAND((1 << _TURN) - 1)
+        turn = F.col("top").bitwiseAND(-(1 << _TURN))
+        key = turn + F.shiftleft(inside, SUB_BITS).bitwiseOR(_bits(other, shift, SUB_BITS)) + (sub << 32)
         rest = F.shiftleft(high, shift).bitwiseOR(low)
         subs.append(F.struct(F.lit(sub).cast("bigint").alias("sub"), key.alias("key"), rest.alias("rest")))
     whole = F.struct(F.lit(-1).cast("bigint").alias("sub"), F.col("top").alias("key"), other.alias("rest"))
@@ -246,33 +276,43 @@ def fingerprint_links(distinct: DataFrame, budget: int = BUDGET, hot: int = HOT)
     return (
         dealt.repartition("sub", "key")
         .sortWithinPartitions("sub", "key", "rest")
-        .mapInArrow(lambda batches: _join_runs(batches, budget), "a bigint, b bigint")
+        .mapInArrow(lambda batches: _join_runs(batches, budget), "turn bigint, a bigint, b bigint")
     )
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """``doc_id``, ``fp``, ``component_id`` of every row (smallest doc_id reachable)."""
-    prints = cut_lineage(fingerprints(docs, shingle))
-    first = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = connected_components(fingerprint_links(first.select("fp"), budget))
-    members = first.join(roots, F.col("fp") == F.col("node"), "left")
-    least = (
-        members.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("first_id").alias("component_id"))
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET, rounds: int = 1) -> DataFrame:
+    """``doc_id``, ``fp`` (of the first round), ``component_id`` of every row (smallest doc_id reachable)."""
+    prints = cut_lineage(fingerprints(docs, shingle, rounds))
+    every = prints.select("doc_id", F.posexplode("fps").alias("turn", "fp"))
+    first = cut_lineage(every.groupBy("turn", "fp").agg(F.min("doc_id").alias("first_id")))
+    links = fingerprint_links(first.select("turn", "fp"), budget)
+    ends = [F.struct(F.col("turn").cast("int").alias("turn"), F.col(x).alias("fp")).alias(x) for x in "ab"]
+    roots = connected_components(links.select(*ends))
+    members = first.join(roots.select("node.*", "root"), ["turn", "fp"], "left")
+    least = members.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("first_id").alias("least_id"))
+    named = members.join(least, "root", "left").select(
+        "turn", "fp", F.coalesce("least_id", "first_id").alias("component_id")
     )
-    named = members.join(least.withColumnRenamed("root", "_root"), F.col("root") == F.col("_root"), "left")
-    named = named.select(
-        F.col("fp").alias("_fp"), F.coalesce("component_id", "first_id").alias("component_id")
+    placed = every.join(named, ["turn", "fp"])
+    if rounds == 1:
+        return placed.select("doc_id", "fp", "component_id")
+    # A document and its component's first one are linked in every round; the union has its own components.
+    joins = placed.where(F.col("doc_id") != F.col("component_id")).select("doc_id", "component_id")
+    united = connected_components(joins)
+    return prints.join(united, F.col("doc_id") == F.col("node"), "left").select(
+        "doc_id", F.col("fps")[0].alias("fp"), F.coalesce("root", "doc_id").alias("component_id")
     )
-    return prints.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET, rounds: int = 1
+) -> DataFrame:
     """``docs`` with one row of each component: the smallest doc_id, once if it repeats.
 
     Rows without a doc_id can't be named as a group's member and all stay.
     """
     slim = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    kept = near_duplicates(slim, shingle, budget).where(F.col("doc_id") == F.col("component_id"))
+    kept = near_duplicates(slim, shingle, budget, rounds).where(F.col("doc_id") == F.col("component_id"))
     kept = kept.select(F.col("doc_id").alias("_kept")).distinct()
     joined = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left")
     joined = joined.where(F.col("_kept").isNotNull() | F.col("doc_id").isNull())

@@ -339,8 +339,10 @@ def signed(v):
 def test_trie_join_links_all(spark, hot):
     values = planted(40, 3, 5) + [v | 0xFFFF for v in planted(10, 4, 4)]
     values = sorted(set(values))
-    df = frame(spark, [(signed(v),) for v in values], "fp long")
+    df = frame(spark, [(0, signed(v)) for v in values] + [(1, signed(v ^ 1)) for v in values], "turn int, fp long")
     links = simhash.fingerprint_links(df, hot=hot)
+    assert {r.turn for r in links.collect()} == {0, 1}
+    links = links.filter("turn = 0").select("a", "b")
     groups = {r.node: r.root for r in components.connected_components(links).collect()}
     mine, want = {}, {}
     for v, r in naive_roots(values).items():
@@ -364,6 +366,23 @@ def test_dense_cluster_stays_cheap():
     assert len(set(simhash._roots(a, b, len(rest)).tolist())) == 1 and len(a) < 40 * len(rest)
 
 
+def test_rounds_find_more(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(120)]
+        rows.append((2 * i, " ".join(words)))
+        words[60] = "changed"
+        rows.append((2 * i + 1, " ".join(words)))
+    df = frame(spark, rows)
+    caught = []
+    for rounds in (1, 6):
+        found = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, rounds=rounds).collect()}
+        assert all(root in (d, d - 1) for d, root in found.items())
+        caught.append(sum(found[d] != d for d in found))
+    assert caught[1] > caught[0] and caught[1] >= 52
+
+
 def test_components_of_chains(spark):
     chain = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1002), (5, 5)]
     found = {r.node: r.root for r in components.connected_components(frame(spark, chain, "x long, y long")).collect()}

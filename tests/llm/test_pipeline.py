@@ -29,14 +29,12 @@ def by_hand(spark, folder):
                 or holders[r["source"], x] < line_dedup.MIN_PAGES
                 or holders[r["source"], x] <= line_dedup.BOILERPLATE_RATIO * hosts[r["source"]]
             )
-    prints = {r["doc_id"]: simhash.simhash(r["text"]) for r in rows}
-    kept = []
-    seen: list[set] = []
-    for r in rows:
-        near = [g for g in seen if any((prints[r["doc_id"]] ^ p).bit_count() <= 3 for p in g)]
-        seen = [g for g in seen if g not in near] + [{prints[r["doc_id"]]}.union(*near)]
-    for group in seen:
-        kept.append(min(d for d, p in prints.items() if p in group))
+    prints = {r["doc_id"]: simhash.simhashes(r["text"], rounds=corpus_pipeline.NEAR_ROUNDS) for r in rows}
+    groups: list[set] = []
+    for d, own in prints.items():
+        near = [g for g in groups if any((x ^ y).bit_count() <= 3 for o in g for x, y in zip(own, prints[o]))]
+        groups = [g for g in groups if g not in near] + [{d}.union(*near)]
+    kept = [min(g) for g in groups]
     rows = [r for r in rows if r["doc_id"] in set(kept)]
     table = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string")
     tagger = pii.fit(table)
