@@ -15,11 +15,19 @@ from pyspark.sql import functions as F
 
 from lodestar.sources.storage import cut_lineage
 
-SLICES = 64
+# Fewest and most slices; between them twice the shuffle partitions.
+FEW_SLICES, MOST_SLICES = 64, 512
 
 
-def quantile_slice(df: DataFrame, value: str, slices: int = SLICES) -> DataFrame:
+def slices_for(df: DataFrame) -> int:
+    """As many slices as keep the session's shuffle partitions busy (results don't depend on it)."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(MOST_SLICES, max(FEW_SLICES, 2 * tasks))
+
+
+def quantile_slice(df: DataFrame, value: str, slices: int | None = None) -> DataFrame:
     """Add ``_slice``: how many of ``slices - 1`` approximate quantiles are <= value."""
+    slices = slices or slices_for(df)
     points = [i / slices for i in range(1, slices)]
     cuts = df.agg(F.percentile_approx(value, points, 10000)).scalar()
     below = F.aggregate("_cuts", F.lit(0), lambda acc, cut: acc + (F.col(value) >= cut).cast("int"))
@@ -55,7 +63,7 @@ def sliced_row_number(
     )
 
 
-def global_row_number(df: DataFrame, value: str, output: str, slices: int = SLICES) -> DataFrame:
+def global_row_number(df: DataFrame, value: str, output: str, slices: int | None = None) -> DataFrame:
     """1-based position of every row in ascending order of a unique ``value``."""
     return sliced_row_number(quantile_slice(df, value, slices), [], [F.col(value)], output)
 
@@ -65,13 +73,13 @@ def hash_positions(
 ) -> DataFrame:
     """1-based position of every row in the hash order of its group."""
     sliced = df.withColumn("_u", uniform).withColumn(
-        "_slice", F.floor(F.col("_u") * SLICES).cast("int")
+        "_slice", F.floor(F.col("_u") * slices_for(df)).cast("int")
     )
     return sliced_row_number(sliced, groups, [F.col("_u"), *map(F.col, ties)], output).drop("_u")
 
 
 def weighted_below(
-    counts: DataFrame, groups: Sequence[str], value: str, weight: str, slices: int = SLICES
+    counts: DataFrame, groups: Sequence[str], value: str, weight: str, slices: int | None = None
 ) -> DataFrame:
     """Add ``below``: total weight of strictly smaller values within the group.
 
@@ -82,7 +90,7 @@ def weighted_below(
 
 
 def _below(
-    counts: DataFrame, groups: Sequence[str], value: str, weight: str, slices: int
+    counts: DataFrame, groups: Sequence[str], value: str, weight: str, slices: int | None = None
 ) -> DataFrame:
     sliced = quantile_slice(counts, value, slices)
     offsets = _offsets(sliced, groups, {"w": F.col(weight)})
@@ -107,7 +115,7 @@ def exact_quantiles(
     Unlike ``percentile``, no task holds all distinct values of a group.
     """
     counts = cut_lineage(counts)
-    ranked = _below(counts, groups, value, weight, SLICES)
+    ranked = _below(counts, groups, value, weight)
     totals = counts.groupBy(*groups).agg(F.sum(weight).alias("_total"))
     placed = ranked.join(totals, list(groups))
     first, last = F.col("below"), F.col("below") + F.col(weight)

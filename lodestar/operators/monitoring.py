@@ -48,6 +48,16 @@ def cumulative_histogram(rows: DataFrame, value: Column, bounds: list[float], ou
     return filled.select("le", F.sum("n").over(running).alias(output))
 
 
+def sustained_alerts(rows: DataFrame, keys: list[str], slots: int, slot: str = "slot") -> DataFrame:
+    """Add ``sustained``: the alert has held for ``slots`` slots in a row, up to this one.
+
+    A missing slot interrupts it. ``rows`` holds one row per key and slot.
+    """
+    raised = F.when(F.col("alert"), F.col(slot))
+    recent = Window.partitionBy(*keys).orderBy(slot).rangeBetween(-(slots - 1), 0)
+    return rows.withColumn("sustained", F.count(raised).over(recent) == slots)
+
+
 def canary_gate(requests: DataFrame) -> DataFrame:
     """Whether the canary model must be rolled back against the baseline."""
     kind = F.col("event_type")

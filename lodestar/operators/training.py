@@ -42,17 +42,22 @@ def uniform_negatives(
     catalogue: DataFrame,
     ratio: int = C.NEGATIVES_PER_POSITIVE,
     seed: str = "negative",
+    wanted: DataFrame | None = None,
 ) -> DataFrame:
     """``ratio`` catalogue items per positive, never the positive itself.
 
     ``positives`` holds (event_id, user_id, item_id). A draw from N-1 positions
-    is shifted past the positive's own, so nothing is redrawn.
+    is shifted past the positive's own, so nothing is redrawn. ``wanted`` limits
+    the draws to its (event_id, j).
     """
     index = dense_index(catalogue)
     size = catalogue.agg(F.count("*")).scalar()
     own = spread_join(positives.select("event_id", "user_id", "item_id"), index, ["item_id"], F.col("event_id"))
     sized = own.withColumn("_size", size)
-    draws = sized.withColumn("j", F.explode(F.array(*[F.lit(j) for j in range(1, ratio + 1)])))
+    if wanted is None:
+        draws = sized.withColumn("j", F.explode(F.array(*[F.lit(j) for j in range(1, ratio + 1)])))
+    else:
+        draws = sized.join(wanted.select("event_id", "j"), "event_id")
     draw = H.hash_index(seed, F.col("event_id"), F.col("j"), size=F.col("_size") - 1)
     shifted = draws.withColumn("_draw", draw).select(
         "event_id",
@@ -101,10 +106,8 @@ def shown_negatives(
         "event_id", "user_id", "j", "item_id", F.lit("shown").alias("source")
     )
     missing = wanted.filter(F.col("j") > F.col("size")).select("event_id", "j")
-    uniform = uniform_negatives(positives, catalogue, ratio)
-    filled = uniform.join(missing, ["event_id", "j"], "left_semi").select(
-        "event_id", "user_id", "j", "item_id", F.lit("uniform").alias("source")
-    )
+    uniform = uniform_negatives(positives, catalogue, ratio, wanted=missing)
+    filled = uniform.select("event_id", "user_id", "j", "item_id", F.lit("uniform").alias("source"))
     return seen.unionByName(filled)
 
 

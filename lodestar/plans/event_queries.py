@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestar import constants as C
 from lodestar import schemas
 from lodestar.functions import events as E
-from lodestar.operators import features, ingest
+from lodestar.operators import features, ingest, monitoring
 from lodestar.plans.registry import query
 from lodestar.plans.views import HOLDOUT_SQL, IMPRESSION_SQL, NOW_SQL, sql_in, sql_list, weight_sql
 from lodestar.sources import event_log
@@ -249,6 +249,42 @@ def _(t: Tables):
     return ingest.rate_limit_rejections(limited)
 
 
+@query(
+    "sustained_rejections",
+    """
+ranked AS (SELECT created_at, row_number() OVER (
+    PARTITION BY api_key, floor(epoch_us(created_at) / 3600000000) ORDER BY created_at, event_id) AS n
+  FROM interactions),
+slots AS (SELECT CAST(floor(epoch_us(created_at) / 300000000) AS BIGINT) AS slot,
+  count(*) FILTER (n > 5) / 300.0::DOUBLE > 0.004 AS alert FROM ranked GROUP BY slot)
+---
+SELECT slot, alert, count(*) FILTER (alert) OVER (ORDER BY slot RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) = 2 AS sustained
+FROM slots
+""",
+)
+def _(t: Tables):
+    # Two five-minute slots in a row, at a threshold that this traffic reaches.
+    limited = ingest.rate_limit(t.interactions, limit=5, window_seconds=3600)
+    slots = ingest.rate_limit_rejections(limited, alert=0.004).withColumn("rule", F.lit("rejections"))
+    return monitoring.sustained_alerts(slots, ["rule"], 2).select("slot", "alert", "sustained")
+
+
+@query(
+    "feedback_union",
+    """
+SELECT event_type, count(*) AS n, count(dwell_ms) AS with_dwell FROM (
+  SELECT event_type, dwell_ms FROM interactions WHERE event_type NOT IN ('hide', 'report')
+  UNION ALL SELECT event_type, NULL FROM interactions WHERE event_type IN ('hide', 'report')) GROUP BY event_type
+""",
+)
+def _(t: Tables):
+    # Explicit feedback arrives with fewer columns than the behavioural log.
+    explicit = F.col("event_type").isin(C.SUPPRESSING_EVENTS)
+    feedback = t.interactions.filter(explicit).select("event_id", "user_id", "item_id", "event_type", "created_at")
+    union = ingest.feedback_interactions(feedback, t.interactions.filter(~explicit))
+    return union.groupBy("event_type").agg(F.count("*").alias("n"), F.count("dwell_ms").alias("with_dwell"))
+
+
 @query(
     "ingestion_error_rate",
     f"""

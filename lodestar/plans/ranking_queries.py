@@ -12,6 +12,7 @@ from lodestar.plans.feature_queries import DAY, DIM
 from lodestar.plans.registry import query
 from lodestar.plans.views import NOW_SQL, VIEWS, freshness_sql, hash_mod_sql, uniform_sql, weight_sql
 from lodestar.sources.bindings import Tables, now
+from lodestar.sources.storage import cut_lineage
 
 DEPTH = C.ANN_K
 SIZE = C.FEED_SIZE
@@ -302,22 +303,19 @@ def _(t: Tables):
     return adjusted_rows(t).select("user_id", "item_id", "score", "seen", "freshness_boosted", "rank")
 
 
-def diverse_rows(t: Tables):
-    return ranking.mmr_rerank(adjusted_rows(t), t.items, SIZE)
-
-
 @query("mmr_rerank", "SELECT user_id, item_id, rank::INTEGER AS rank FROM diverse")
 def _(t: Tables):
-    return diverse_rows(t)
+    return ranking.mmr_rerank(adjusted_rows(t), t.items, SIZE)
 
 
-def capped_rows(t: Tables):
-    return ranking.category_cap(diverse_rows(t).join(t.items.select("item_id", "category"), "item_id"))
+def capped_rows(t: Tables, adjusted):
+    diverse = ranking.mmr_rerank(adjusted, t.items, SIZE)
+    return ranking.category_cap(diverse.join(t.items.select("item_id", "category"), "item_id"))
 
 
 @query("category_exposure_cap", "SELECT user_id, item_id, category, rank::INTEGER AS rank FROM capped")
 def _(t: Tables):
-    return capped_rows(t).select("user_id", "item_id", "category", "rank")
+    return capped_rows(t, adjusted_rows(t)).select("user_id", "item_id", "category", "rank")
 
 
 @query(
@@ -330,7 +328,9 @@ def _(t: Tables):
 
 @query("exploration_pool", "SELECT user_id, item_id FROM pool")
 def _(t: Tables):
-    return ranking.exploration_pool(adjusted_rows(t), capped_rows(t)).select("user_id", "item_id")
+    # Both sides start from the adjusted scores: built once, stored once.
+    adjusted = cut_lineage(adjusted_rows(t))
+    return ranking.exploration_pool(adjusted, capped_rows(t, adjusted)).select("user_id", "item_id")
 
 
 _PICK_U = uniform_sql("'bandit:' || r.user_id || ':' || r.item_id")
@@ -357,9 +357,9 @@ def _(t: Tables):
 @query("bandit_inject", "SELECT user_id, rank::INTEGER AS rank, item_id, is_exploration FROM served")
 def _(t: Tables):
     arms = ranking.arm_stats(t.interactions)
-    return ranking.bandit_inject(
-        capped_rows(t).select("user_id", "item_id", "rank"), adjusted_rows(t), arms, SIZE
-    )
+    adjusted = cut_lineage(adjusted_rows(t))
+    capped = capped_rows(t, adjusted).select("user_id", "item_id", "rank")
+    return ranking.bandit_inject(capped, adjusted, arms, SIZE)
 
 
 @query(

@@ -6,10 +6,14 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+#: Paths of the stages that this process has written and not removed.
+_STAGES: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,10 +44,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     twice, and its columns are pruned by later reads.
     """
     path = new_path(df.sparkSession, "stage")
+    _STAGES.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a stored stage by the file system that holds it."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+@contextmanager
+def stages(spark: SparkSession) -> Iterator[None]:
+    """A scope whose stages are deleted at its end; write what must outlive it inside."""
+    before = len(_STAGES)
+    try:
+        yield
+    finally:
+        while len(_STAGES) > before:
+            remove(spark, _STAGES.pop())
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers (once per application)."""
     sc = spark.sparkContext
