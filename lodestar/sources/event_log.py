@@ -59,12 +59,16 @@ def append_new_events(spark: SparkSession, batch: DataFrame, path: str) -> None:
     """
     fresh = with_month(batch).dropDuplicates(["event_id"])
     if log_exists(spark, path):
-        log = spark.read.schema(fresh.schema).parquet(path)
-        known = log.filter(F.col("event_month").isin(touched_months(batch))).select("event_id")
-        fresh = fresh.join(known, "event_id", "left_anti")
+        fresh = fresh.join(logged_near(spark, batch, path), "event_id", "left_anti")
     rebalanced(fresh, "event_month").write.mode("append").partitionBy("event_month").parquet(path)
 
 
+def logged_near(spark: SparkSession, batch: DataFrame, path: str) -> DataFrame:
+    """Ids that the log holds in the batch's months and their neighbours."""
+    log = spark.read.schema(with_month(batch).schema).parquet(path)
+    return log.filter(F.col("event_month").isin(touched_months(batch))).select("event_id")
+
+
 def touched_months(batch: DataFrame, ts: str = "created_at") -> list[str]:
     """Months of the batch with their neighbours: a handful of names on the driver."""
     around = F.array(*[F.date_format(F.add_months(ts, n), "yyyy-MM") for n in (-1, 0, 1)])

@@ -143,6 +143,30 @@ def test_audit_append_is_idempotent(spark, t):
     assert spark.read.parquet(path).count() == rows.count()
 
 
+def test_audit_append_reads_touched_months_only(spark, t):
+    path = new_path(spark, "audit-months")
+    rows = t.interactions.select("event_id", "created_at")
+    old = rows.select("event_id", F.expr("created_at - interval 400 days").alias("created_at"))
+    event_log.write_event_log(rows.unionByName(old), path)
+    near = event_log.logged_near(spark, rows, path)
+    scan = [line for line in plan_of(near).splitlines() if "PartitionFilters" in line][0]
+    assert "2024-01" in scan.split("PartitionFilters:")[1].split("PushedFilters")[0]
+    assert near.count() == rows.count()
+    # A repeat in the next month is recognised.
+    late = rows.limit(5).select("event_id", F.expr("created_at + interval 31 days").alias("created_at"))
+    event_log.append_new_events(spark, late, path)
+    assert spark.read.parquet(path).count() == 2 * rows.count()
+
+
+def test_scoped_stages_are_removed(spark, t):
+    from lodestar.sources import storage
+
+    with storage.stages(spark):
+        path = storage.cut_lineage(spark.range(3)).inputFiles()[0]
+        assert event_log.log_exists(spark, path.rsplit("/", 1)[0])
+    assert not event_log.log_exists(spark, path.rsplit("/", 1)[0])
+
+
 def test_month_predicate_prunes_folders(spark, t):
     path = new_path(spark, "months")
     both = t.interactions.select("event_id", "created_at").unionByName(
