@@ -101,14 +101,13 @@ def assign_shards(
     virtual: int = VIRTUAL,
     tie_break: Sequence[Column] = (),
 ) -> DataFrame:
-    """``df`` with ``shard`` and ``slot`` (gapless from 0 within the shard).
+    """``df`` with ``shard`` and ``slot`` (gapless from 0 within the shard), replacing columns of these names.
 
     Only the columns of ``df`` are shuffled, once, by arc; pass narrow rows.
     """
     spark = df.sparkSession
     ship_package(spark)
-    if {"shard", "slot"} & {c.lower() for c in df.columns}:
-        raise ValueError("rename the columns shard and slot first")
+    df = df.drop(*[c for c in df.columns if c.lower() in ("shard", "slot")])
     positions, owners = ring(shards, virtual)
 
     @F.pandas_udf("int")

@@ -79,8 +79,8 @@ def test_ring_keeps_repeated_keys(spark):
     found = sharding.assign_shards(df, "k", 7).collect()
     counts = Counter(r.shard for r in found)
     assert len(found) == 1000 and max(counts.values()) - min(counts.values()) <= 1
-    with pytest.raises(ValueError):
-        sharding.assign_shards(df.withColumnRenamed("other", "slot"), "k", 7)
+    again = sharding.assign_shards(df.withColumnRenamed("other", "slot"), "k", 7)
+    assert again.columns == ["k", "shard", "slot"] and again.count() == 1000
 
 
 def test_walk_fills_every_shard_exactly():
