@@ -46,7 +46,7 @@ SUB_BLOCKS, SUB_BITS = 4, 12
 HOT = 256
 SEED = 42
 #: Rows that one traversal takes together, and node pairs it follows at a time.
-CHUNK, FRONT = 200_000, 500_000
+CHUNK, FRONT = 100_000, 200_000
 
 
 def _scrambled(hashes: np.ndarray, turn: int) -> np.ndarray:

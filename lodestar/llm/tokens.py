@@ -14,9 +14,9 @@ import tiktoken
 #: two matches of the splitting pattern, so pieces can be encoded one by one.
 CUT = re.compile(r" (?=\S)")
 #: Pieces that a worker remembers; others are encoded when they occur.
-REMEMBERED = 700_000
+REMEMBERED = 200_000
 #: Characters of the texts that are cut and encoded together.
-TOGETHER = 2_000_000
+TOGETHER = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
