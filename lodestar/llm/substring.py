@@ -45,7 +45,7 @@ ROWS, BITS = 2, 27
 #: Slices of a row in which task sketches are merged.
 MERGED = 64
 #: Bytes of text hashed together, anchors per partial sketch, windows kept for local grouping.
-TOGETHER, ANCHORS, HELD = 4_000_000, 4_000_000, 1_500_000
+TOGETHER, ANCHORS, HELD = 1_500_000, 1_500_000, 1_000_000
 _LEAST = -(1 << 63)
 
 _SPACE = np.zeros(256, dtype=bool)
