@@ -304,6 +304,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGE
     )
 
 
+def keep_first(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component of ``named``; rows without a doc_id stay."""
+    kept = named.where(F.col("doc_id") == F.col("component_id"))
+    kept = kept.select(F.col("doc_id").alias("_kept")).distinct()
+    joined = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left")
+    joined = joined.where(F.col("_kept").isNotNull() | F.col("doc_id").isNull())
+    unnamed = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    return joined.withColumn("_unnamed", unnamed).dropDuplicates(["doc_id", "_unnamed"]).select(*docs.columns)
+
+
 def drop_near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET, rounds: int = 1
 ) -> DataFrame:
@@ -312,9 +322,4 @@ def drop_near_duplicates(
     Rows without a doc_id can't be named as a group's member and all stay.
     """
     slim = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    kept = near_duplicates(slim, shingle, budget, rounds).where(F.col("doc_id") == F.col("component_id"))
-    kept = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    joined = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left")
-    joined = joined.where(F.col("_kept").isNotNull() | F.col("doc_id").isNull())
-    unnamed = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return joined.withColumn("_unnamed", unnamed).dropDuplicates(["doc_id", "_unnamed"]).select(*docs.columns)
+    return keep_first(docs, near_duplicates(slim, shingle, budget, rounds))
