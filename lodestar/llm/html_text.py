@@ -13,7 +13,8 @@ the tree and writes text as it would stand on the page:
 
 Not visible: head, script, style, template, noscript and other data elements;
 ``hidden``, ``aria-hidden="true"``, ``display:none`` and ``visibility:hidden``
-(inline or by a plain class, id or tag rule of the page's own style sheets);
+(inline or by a plain class, id or tag rule of the page's own style sheets, the
+last one for a selector; rules for other media or sizes than a screen's don't count);
 input of type hidden; closed details beyond their summary; comments.
 
 * A null page gives null; a page without visible text the empty string.
@@ -69,7 +70,11 @@ LISTS = frozenset({"ul", "ol", "menu", "dir"})
 _TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*+)>""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACES = re.compile(r"[ \t\n\f\r]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_CSS_PIECE = re.compile(r"[^{};]*([{};])")
+_SELECTOR = re.compile(r"[.#]?[\w-]+")
+_SCREEN = re.compile(r"(?:only\s+)?(?:all|screen)", re.I)
+_HIDES = {"display": {"none"}, "visibility": {"hidden", "collapse"}}
 _HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 
 
@@ -195,22 +200,70 @@ def parse(page: str) -> Node:
     return build.root
 
 
+def _on_screen(media: str) -> bool:
+    """Whether a media list holds on any screen, whatever its size."""
+    return not media.strip() or any(_SCREEN.fullmatch(part.strip()) for part in media.split(","))
+
+
+def _plain_rules(css: str) -> Iterator[tuple[str, str]]:
+    """Selector list and declarations of the rules that hold on any screen, in order."""
+    css = _CSS_COMMENT.sub(" ", css)
+    # Open blocks: True for a group of rules that holds, False for one to be skipped.
+    groups: list[bool] = []
+    selectors: str | None = None
+    declared: list[str] = []
+    for m in _CSS_PIECE.finditer(css + "}"):
+        head, sign = m[0][:-1].strip(), m[1]
+        if sign == "{":
+            name, _, rest = head.partition("(" if head.lower().startswith("@media(") else " ")
+            name = name.lower()
+            inside = not groups or groups[-1]
+            if name == "@media":
+                groups.append(inside and _on_screen(head[len("@media") :]))
+            elif name.startswith(("@supports", "@layer")):
+                groups.append(inside)
+            elif head.startswith("@") or selectors is not None:
+                groups.append(False)
+            else:
+                groups.append(inside)
+                selectors, declared = head, []
+                depth = len(groups)
+        elif sign == ";":
+            if selectors is not None and len(groups) == depth:
+                declared.append(head)
+        elif groups:
+            if selectors is not None and len(groups) == depth:
+                if groups[-1]:
+                    yield selectors, ";".join([*declared, head])
+                selectors = None
+            groups.pop()
+
+
 def hiding_rules(root: Node) -> set[str]:
     """Plain selectors (``.class``, ``#id``, ``tag``) that the page's style sheets hide."""
-    hidden: set[str] = set()
+    # Per selector and property: whether the value that wins is important, and whether it hides.
+    values: dict[str, dict[str, tuple[bool, bool]]] = {}
     stack: list = [root]
     while stack:
         node = stack.pop()
-        for child in node.children:
-            if isinstance(child, Node):
-                if child.tag == "style":
-                    for m in _RULE.finditer("".join(child.children)):
-                        if _HIDING.search(m[2]):
-                            parts = (s.strip() for s in m[1].split(","))
-                            hidden.update(s for s in parts if re.fullmatch(r"[.#]?[\w-]+", s))
-                else:
-                    stack.append(child)
-    return hidden
+        if node.tag != "style":
+            stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+            continue
+        if not _on_screen(node.attribute("media") or ""):
+            continue
+        for selectors, declarations in _plain_rules("".join(node.children)):
+            names = [s for s in map(str.strip, selectors.split(",")) if _SELECTOR.fullmatch(s)]
+            for declaration in declarations.split(";"):
+                name, _, value = declaration.partition(":")
+                name, (value, _, mark) = name.strip().lower(), value.lower().partition("!")
+                if name not in _HIDES:
+                    continue
+                important = mark.strip() == "important"
+                for selector in names:
+                    own = values.setdefault(selector, {})
+                    if important or not own.get(name, (False,))[0]:
+                        own[name] = important, value.strip() in _HIDES[name]
+    return {selector for selector, own in values.items() if any(hides for _, hides in own.values())}
 
 
 def visible(node: Node, hidden: set[str]) -> bool:
@@ -364,13 +417,17 @@ def _open_block(page: _Page, node: Node, tag: str, stack: list, counters: list,
     stack.extend((child, pre or tag == "pre") for child in reversed(children))
 
 
-def _rows(table: Node, hidden: set[str]) -> tuple[list[list[Node]], list[Node]]:
-    """Cells of each visible row of this table (not of nested ones), and its captions."""
+def _rows(table: Node, hidden: set[str]) -> tuple[list[list[Node]], list[Node | str]]:
+    """Cells of each visible row of this table (not of nested ones), and its captions and stray text."""
     rows: list[list[Node]] = []
-    captions: list[Node] = []
-    stack = [c for c in reversed(table.children) if isinstance(c, Node)]
+    captions: list[Node | str] = []
+    stack: list = [c for c in reversed(table.children) if isinstance(c, Node)]
     while stack:
         node = stack.pop()
+        if isinstance(node, str):
+            if node.strip():
+                captions.append(node)
+            continue
         if not visible(node, hidden):
             continue
         if node.tag == "caption":
@@ -378,12 +435,12 @@ def _rows(table: Node, hidden: set[str]) -> tuple[list[list[Node]], list[Node]]:
         elif node.tag == "tr":
             cells = [c for c in node.children if isinstance(c, Node) and c.tag in ("td", "th")]
             rows.append([c for c in cells if visible(c, hidden)])
-            stray = [c for c in node.children if isinstance(c, Node) and c.tag not in ("td", "th")]
+            stray = [c for c in node.children if isinstance(c, str) or c.tag not in ("td", "th")]
             stack.extend(reversed(stray))
         elif node.tag in ("td", "th"):
             rows.append([node])
         elif node.tag in ("tbody", "thead", "tfoot"):
-            stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+            stack.extend(reversed(node.children))
         else:
             captions.append(node)  # misplaced content stands before the table
     return rows, captions
