@@ -10,8 +10,10 @@ Viterbi. Reconciliation is global: a character takes its label from the window
 in whose middle it lies, spans are read off the whole text's label sequence,
 and a model span that meets a base span gives way.
 
-A span must hold a digit or ``@``. A window without either therefore decodes to
-nothing and isn't run; this changes no result (``every_window=True`` in tests).
+A span must hold a trigger: a digit, ``@``, or the word ``at`` between other
+characters than letters, as in ``(at)``, ``[at]`` and `` at ``. Windows that own a
+trigger are run first, then the neighbours into which a label run goes on, until
+none does; this changes no result (``every_window=True`` in tests).
 
 * A null or empty text has no spans. Rows are judged one by one.
 * Offsets are code points, ends exclusive.
@@ -19,6 +21,7 @@ nothing and isn't run; this changes no result (``every_window=True`` in tests).
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -41,6 +44,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TRIGGER = re.compile(r"[0-9@]")
+#: What a span must hold; _TRIGGER and the spelled at-sign.
+_HELD = re.compile(r"[0-9@]|(?<![A-Za-z])[Aa][Tt](?![A-Za-z])")
 
 WINDOW, STRIDE = 128, 64
 HIDDEN, EMBEDDED = 16, 12
@@ -353,7 +358,7 @@ def training_windows(texts: list[str], most: int = TRAIN_WINDOWS, seed: int = 3)
                 after = after[: m.start()] if (m := _TRIGGER.search(after)) else after
                 changed.append((before + new + after, [(kind, len(before), len(before) + len(new))]))
         taken = [(a, b) for _, a, b in spans]
-        for m in _TRIGGER.finditer(text):
+        for m in _HELD.finditer(text):
             low = max(0, m.start() - int(rng.integers(0, WINDOW)))
             if not any(a < low + WINDOW and b > low for a, b in taken):
                 without.append((text[low : low + WINDOW], []))
@@ -408,38 +413,49 @@ def add_spans(
     if model is None:
         return base
     windows: list[tuple[int, int]] = []
+    held: dict[int, list[tuple[int, int]]] = {}
+    last = [max(1, -(-(len(text) - STRIDE) // STRIDE)) - 1 for text in texts]
     for i, text in enumerate(texts):
-        steps = max(1, -(-(len(text) - STRIDE) // STRIDE)) if text else 0
+        held[i] = [m.span() for m in _HELD.finditer(text)]
         if every_window:
-            chosen = range(steps)
+            windows.extend((i, k) for k in range(last[i] + 1 if text else 0))
         else:
-            near = {m.start() // STRIDE for m in _TRIGGER.finditer(text)}
-            chosen = sorted({k for n in near for k in (n - 1, n) if 0 <= k < steps})
-        windows.extend((i, k) for k in chosen)
+            owners = {min(max(0, (a - STRIDE // 2) // STRIDE), last[i]) for a, _ in held[i]}
+            windows.extend((i, k) for k in sorted(owners))
     out = [list(spans) for spans in base]
     marked: dict[int, np.ndarray] = {}
-    for at in range(0, len(windows), 1024):
-        part = windows[at : at + 1024]
-        codes = np.zeros((len(part), WINDOW), dtype=np.int64)
-        for row, (i, k) in enumerate(part):
-            found = char_codes(texts[i][k * STRIDE : k * STRIDE + WINDOW])
-            codes[row, : len(found)] = found
-        for (i, k), labels in zip(part, model.decode(codes)):
-            if not labels.any():
-                continue
-            text = texts[i]
-            if i not in marked:
-                marked[i] = np.zeros(len(text), dtype=np.int8)
-            low = 0 if k == 0 else k * STRIDE + STRIDE // 2
-            high = k * STRIDE + STRIDE // 2 + STRIDE
-            if k * STRIDE + WINDOW >= len(text):
-                high = len(text)
-            marked[i][low:high] = labels[low - k * STRIDE : high - k * STRIDE]
+    known = set(windows)
+    while windows:
+        reached: set[tuple[int, int]] = set()
+        for at in range(0, len(windows), 1024):
+            part = windows[at : at + 1024]
+            codes = np.zeros((len(part), WINDOW), dtype=np.int64)
+            for row, (i, k) in enumerate(part):
+                found = char_codes(texts[i][k * STRIDE : k * STRIDE + WINDOW])
+                codes[row, : len(found)] = found
+            for (i, k), labels in zip(part, model.decode(codes)):
+                if not labels.any():
+                    continue
+                text = texts[i]
+                if i not in marked:
+                    marked[i] = np.zeros(len(text), dtype=np.int8)
+                low = 0 if k == 0 else k * STRIDE + STRIDE // 2
+                high = len(text) if k == last[i] else k * STRIDE + STRIDE // 2 + STRIDE
+                own = labels[low - k * STRIDE : high - k * STRIDE]
+                marked[i][low:high] = own
+                # A run at an edge may go on in the neighbour.
+                if k > 0 and own[0]:
+                    reached.add((i, k - 1))
+                if k < last[i] and own[-1]:
+                    reached.add((i, k + 1))
+        windows = sorted(reached - known)
+        known.update(windows)
     for i, labels in marked.items():
         taken = base[i]
         for kind, start, end in _runs(labels):
             piece = texts[i][start:end]
-            if not _TRIGGER.search(piece) or not _plausible(kind, piece):
+            first = bisect.bisect_left(held[i], (start, 0))
+            if first == len(held[i]) or held[i][first][1] > end or not _plausible(kind, piece):
                 continue
             if not any(a < end and b > start for _, a, b in taken):
                 out[i].append((kind, start, end))
