@@ -77,42 +77,41 @@ def drop_boilerplate(
     page), so they are joined as one array per host. Rows of hot hosts are
     dealt to PARTS keys; the list of hot hosts is bounded by HOT_SHARE.
     """
-    slim = pages.select(F.col(host).alias("host"))
-    totals = slim.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    every = slim.agg(F.count(F.lit(1))).scalar()
+    # The caller's columns travel as one, so that none can clash with those made here.
+    rows = pages.select(F.struct("*").alias("row"), F.col(host).alias("host"), F.col(text).alias("text"))
+    totals = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    every = rows.agg(F.count(F.lit(1))).scalar()
     # At most HOT_SHARE rows by arithmetic, whatever the data.
     hot = totals.where(F.col("n") * HOT_SHARE > every)
-    hot = hot.select(F.col("host").alias("_hot_host"), F.lit(PARTS).alias("_hot_parts"))
+    hot = hot.select(F.col("host").alias("hot_host"), F.lit(PARTS).alias("parts"))
     bad = (
         boilerplate_lines(pages, host, text, ratio, min_pages)
         .groupBy("host")
-        .agg(F.collect_set("line_hash").alias("_bad"))
-        .join(F.broadcast(hot), F.col("host").eqNullSafe(F.col("_hot_host")), "left")
+        .agg(F.collect_set("line_hash").alias("bad"))
+        .join(F.broadcast(hot), F.col("host").eqNullSafe(F.col("hot_host")), "left")
         .select(
-            F.col("host").alias("_bad_host"),
-            "_bad",
-            F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_hot_parts"), F.lit(1)) - 1)).alias("_bad_part"),
+            F.col("host").alias("bad_host"),
+            "bad",
+            F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)).alias("bad_part"),
         )
     )
-    dealt = pages.join(F.broadcast(hot), F.col(host).eqNullSafe(F.col("_hot_host")), "left").withColumn(
-        "_part",
-        F.pmod(F.xxhash64(*[F.col(c) for c in pages.columns]), F.coalesce(F.col("_hot_parts"), F.lit(1))).cast("int"),
+    deal = F.xxhash64("text", *([] if "doc_id" not in pages.columns else ["row.doc_id"]))
+    dealt = rows.join(F.broadcast(hot), F.col("host").eqNullSafe(F.col("hot_host")), "left").select(
+        "row", "host", "text", F.pmod(deal, F.coalesce(F.col("parts"), F.lit(1))).cast("int").alias("part")
     )
-    joined = dealt.join(
-        bad, F.col(host).eqNullSafe(F.col("_bad_host")) & (F.col("_part") == F.col("_bad_part")), "left"
-    )
-    lines = _lines(F.col(text))
-    kept = F.filter(lines, lambda x: ~(F.array_contains("_bad", F.xxhash64(x)) & x.rlike(_WORD)))
+    joined = dealt.join(bad, F.col("host").eqNullSafe(F.col("bad_host")) & (F.col("part") == F.col("bad_part")), "left")
+    lines = _lines(F.col("text"))
+    kept = F.filter(lines, lambda x: ~(F.array_contains("bad", F.xxhash64(x)) & x.rlike(_WORD)))
     columns = []
     for name in pages.columns:
-        column = F.col(name)
+        column = F.col("row").getField(name)
         if name == text:
-            column = F.when(F.col("_bad").isNull(), column).otherwise(F.array_join(kept, "\n")).alias(name)
-        columns.append(column)
+            column = F.when(F.col("bad").isNull(), column).otherwise(F.array_join(kept, "\n"))
+        columns.append(column.alias(name))
     n_lines = F.coalesce(F.size(lines), F.lit(0))
     if dropped:
-        gone = F.when(F.col("_bad").isNull() | F.col(text).isNull(), 0).otherwise(n_lines - F.size(kept))
+        gone = F.when(F.col("bad").isNull() | F.col("text").isNull(), 0).otherwise(n_lines - F.size(kept))
         columns.append(F.coalesce(gone, F.lit(0)).cast("bigint").alias(dropped))
     if total:
-        columns.append(F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("bigint").alias(total))
+        columns.append(F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("bigint").alias(total))
     return joined.select(*columns)

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.components import connected_components
@@ -87,8 +87,10 @@ def simhashes(text: str | None, shingle: int = SHINGLE, rounds: int = 1) -> list
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, rounds: int = 1) -> DataFrame:
-    """``doc_id``, ``fps`` (a fingerprint per round, as signed 64-bit integers) of every row."""
+def fingerprints(
+    docs: DataFrame, shingle: int = SHINGLE, rounds: int = 1, key: Column | None = None
+) -> DataFrame:
+    """``doc_id`` (or ``key`` under that name), ``fps`` (a fingerprint per round, signed 64-bit) of every row."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,8 +101,9 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, rounds: int = 1) -> Da
             lists = pa.ListArray.from_arrays(places, pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "fps"])
 
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return slim.mapInArrow(run, "doc_id bigint, fps array<bigint>")
+    key = F.col("doc_id").cast("bigint") if key is None else key
+    slim = docs.select(key.alias("doc_id"), "text")
+    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fps array<bigint>")
 
 
 def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -280,9 +283,18 @@ def fingerprint_links(distinct: DataFrame, budget: int = BUDGET, hot: int = HOT)
     )
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET, rounds: int = 1) -> DataFrame:
-    """``doc_id``, ``fp`` (of the first round), ``component_id`` of every row (smallest doc_id reachable)."""
-    prints = cut_lineage(fingerprints(docs, shingle, rounds))
+def near_duplicates(
+    docs: DataFrame,
+    shingle: int = SHINGLE,
+    budget: int = BUDGET,
+    rounds: int = 1,
+    key: Column | None = None,
+) -> DataFrame:
+    """``doc_id``, ``fp`` (of the first round), ``component_id`` of every row (smallest doc_id reachable).
+
+    ``key``, an expression of an orderable type, stands for doc_id if given.
+    """
+    prints = cut_lineage(fingerprints(docs, shingle, rounds, key))
     every = prints.select("doc_id", F.posexplode("fps").alias("turn", "fp"))
     first = cut_lineage(every.groupBy("turn", "fp").agg(F.min("doc_id").alias("first_id")))
     links = fingerprint_links(first.select("turn", "fp"), budget)
@@ -304,22 +316,27 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGE
     )
 
 
-def keep_first(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component of ``named``; rows without a doc_id stay."""
-    kept = named.where(F.col("doc_id") == F.col("component_id"))
-    kept = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    joined = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left")
-    joined = joined.where(F.col("_kept").isNotNull() | F.col("doc_id").isNull())
-    unnamed = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return joined.withColumn("_unnamed", unnamed).dropDuplicates(["doc_id", "_unnamed"]).select(*docs.columns)
-
-
 def drop_near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET, rounds: int = 1
 ) -> DataFrame:
-    """``docs`` with one row of each component: the smallest doc_id, once if it repeats.
+    """``docs`` with one row of each component: the smallest doc_id.
 
-    Rows without a doc_id can't be named as a group's member and all stay.
+    * Rows without a doc_id can't be named as a group's member and all stay.
+    * Rows that repeat a doc_id are documents of their own where their texts
+      differ: a component keeps the one with the smallest (doc_id, text hash).
+      Rows that repeat both are one document, and the row of the smallest hash stays.
+    * Columns of any name pass through unchanged.
     """
-    slim = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    return keep_first(docs, near_duplicates(slim, shingle, budget, rounds))
+    named = docs.where(F.col("doc_id").isNotNull())
+    key = F.struct(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("hash"))
+    found = near_duplicates(named, shingle, budget, rounds, key)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("key")).distinct()
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if not _holds_map(f.dataType)]
+    rows = named.select(key.alias("key"), F.struct("*").alias("row"), F.xxhash64(*plain).alias("order"))
+    single = rows.join(kept, "key").groupBy("key").agg(F.min_by("row", "order").alias("row"))
+    return single.select("row.*").unionAll(docs.where(F.col("doc_id").isNull()))
+
+
+def _holds_map(kind) -> bool:
+    """Whether a type can't be hashed."""
+    return "map<" in kind.simpleString() or "variant" in kind.simpleString()

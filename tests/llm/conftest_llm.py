@@ -65,7 +65,7 @@ def document_table(rows=None) -> pa.Table:
     )
 
 
-def write_tables(folder, docs: pa.Table, labels=(), pages=()) -> str:
+def write_tables(folder, docs: pa.Table, labels=(), pages=(), items=()) -> str:
     os.makedirs(folder, exist_ok=True)
     pq.write_table(docs, f"{folder}/documents.parquet")
     columns = list(zip(*labels)) or [(), (), ()]
@@ -74,14 +74,31 @@ def write_tables(folder, docs: pa.Table, labels=(), pages=()) -> str:
     columns = list(zip(*pages)) or [(), (), ()]
     types = [("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())]
     pq.write_table(pa.table({n: pa.array(c, t) for (n, t), c in zip(types, columns)}), f"{folder}/pages.parquet")
+    columns = list(zip(*items)) or [(), ()]
+    types = [("item_id", pa.int64()), ("text", pa.string())]
+    pq.write_table(pa.table({n: pa.array(c, t) for (n, t), c in zip(types, columns)}), f"{folder}/benchmark.parquet")
     return str(folder)
 
 
+ITEMS = [
+    (1, PROSE),
+    (2, "The Bridge; nobody"),
+    (10, "shared3 shared4 shared5 shared6 shared7 shared8 shared9 shared10 shared11 shared12 shared13 unseen"),
+    (3, None),
+    (4, "... !"),
+    (5, "w977 never stood anywhere in these texts at all or so one hopes"),
+    (6, "日本語のテキスト"),
+    (2, "body of page 25"),
+    (7, PROSE.upper() + " and then more"),
+    (None, "b21w3 b21w4"),
+]
+
+
 @pytest.fixture(scope="session")
 def odd(tmp_path_factory):
     labels = [(5, 1, 0), (8, 1, 0), (10, 0, 0), (16, 0, 0), (99, 1, 1), (None, 1, 0), (3, None, None)]
     pages = [(1, "http://a", "<p>x<p>y"), (2, None, None), (3, "http://b", ""), (None, "u", "<table><tr><td>a<td>b")]
-    return write_tables(tmp_path_factory.mktemp("odd") / "t", document_table(), labels, pages)
+    return write_tables(tmp_path_factory.mktemp("odd") / "t", document_table(), labels, pages, ITEMS)
 
 
 @pytest.fixture(scope="session")
@@ -98,3 +115,8 @@ def real(tmp_path_factory):
 def load(folder: str) -> list[tuple[int | None, str]]:
     table = pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text"])
     return [(d, t or "") for d, t in zip(table["doc_id"].to_pylist(), table["text"].to_pylist())]
+
+
+def load_items(folder: str) -> list[tuple[int | None, str]]:
+    table = pq.read_table(f"{folder}/benchmark.parquet", columns=["item_id", "text"])
+    return [(d, t or "") for d, t in zip(table["item_id"].to_pylist(), table["text"].to_pylist())]

@@ -29,10 +29,10 @@ def by_hand(spark, folder):
                 or holders[r["source"], x] < line_dedup.MIN_PAGES
                 or holders[r["source"], x] <= line_dedup.BOILERPLATE_RATIO * hosts[r["source"]]
             )
-    prints = {r["doc_id"]: simhash.simhashes(r["text"], rounds=corpus_pipeline.NEAR_ROUNDS) for r in rows}
+    prints = {r["doc_id"]: simhash.simhash(r["text"]) for r in rows}
     groups: list[set] = []
     for d, own in prints.items():
-        near = [g for g in groups if any((x ^ y).bit_count() <= 3 for o in g for x, y in zip(own, prints[o]))]
+        near = [g for g in groups if any((own ^ prints[o]).bit_count() <= 3 for o in g)]
         groups = [g for g in groups if g not in near] + [{d}.union(*near)]
     kept = [min(g) for g in groups]
     rows = [r for r in rows if r["doc_id"] in set(kept)]
