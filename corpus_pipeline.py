@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import line_dedup, packing, pii, quality, similar
+from lodestar.llm import line_dedup, packing, pii, quality, simhash
 from lodestar.sources.storage import new_path, stages
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -32,13 +32,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return _recounted(line_dedup.drop_boilerplate(docs), docs.columns)
 
 
-#: Independent keys per document: a pair of similarity 0.8 shares one of them with probability 0.9998.
-NEAR_ROUNDS = 12
-
-
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the smallest doc_id."""
-    return similar.drop_similar(docs, rounds=NEAR_ROUNDS)
+    """One document of each group of near duplicates (three-word shingles, 3 of 64 bits): the smallest doc_id."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
