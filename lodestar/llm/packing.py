@@ -17,6 +17,7 @@ average) and the result doesn't depend on how the input is laid out.
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -44,6 +45,51 @@ def cost(length: int) -> float:
     return LINEAR * length + QUADRATIC * length * length
 
 
+class _Rooms:
+    """Open sequences by their room: a heap by cost for every room, and a tree of the least costs over the rooms."""
+
+    def __init__(self, size: int, n: int):
+        self._leaves = 1 << size.bit_length()
+        self._heaps: list[list[tuple[float, int]]] = [[] for _ in range(size + 1)]
+        self._heaps[size] = [(0.0, s) for s in range(n)]
+        self._least: list[tuple[float, int, int]] = [_NONE] * (2 * self._leaves)
+        self._renew(size)
+
+    def _renew(self, room: int) -> None:
+        heap, least = self._heaps[room], self._least
+        at = self._leaves + room
+        least[at] = (*heap[0], room) if heap else _NONE
+        while at > 1:
+            at >>= 1
+            least[at] = min(least[2 * at], least[2 * at + 1])
+
+    def add(self, room: int, spent: float, s: int) -> None:
+        heapq.heappush(self._heaps[room], (spent, s))
+        self._renew(room)
+
+    def take_cheapest(self, length: int) -> int | None:
+        """Remove and return the cheapest sequence with room for ``length``; None without one."""
+        lo, hi, best = self._leaves + length, 2 * self._leaves, _NONE
+        while lo < hi:
+            if lo & 1:
+                best = min(best, self._least[lo])
+                lo += 1
+            if hi & 1:
+                hi -= 1
+                best = min(best, self._least[hi])
+            lo >>= 1
+            hi >>= 1
+        if best is _NONE:
+            return None
+        _, s, room = best
+        heapq.heappop(self._heaps[room])
+        self._renew(room)
+        return s
+
+
+_NONE = (math.inf, -1, -1)
+
+
 def place(lengths: list[int], size: int = LENGTH) -> list[list[tuple[int, int, int, int]]]:
     """For each rest its pieces ``(start, length, sequence, offset)``.
 
@@ -53,34 +99,23 @@ def place(lengths: list[int], size: int = LENGTH) -> list[list[tuple[int, int, i
     total = sum(lengths)
     n = -(-total // size)
     used, spent = [0] * n, [0.0] * n
-    # Cheapest sequences first; an entry is stale once its cost has changed.
-    heap = [(0.0, s) for s in range(n)]
     pieces: list[list[tuple[int, int, int, int]]] = [[] for _ in lengths]
+    rooms = _Rooms(size, n)
 
     def put(i: int, start: int, length: int, s: int) -> None:
         pieces[i].append((start, length, s, used[s]))
         used[s] += length
         spent[s] += cost(length)
-        if used[s] < size:
-            heapq.heappush(heap, (spent[s], s))
 
     late = []
     for i in sorted(range(len(lengths)), key=lambda j: -lengths[j]):
-        full = []
-        while heap:
-            entry = heapq.heappop(heap)
-            at, s = entry
-            if at != spent[s] or used[s] >= size:
-                continue
-            if size - used[s] >= lengths[i]:
-                put(i, 0, lengths[i], s)
-                break
-            full.append(entry)
-        else:
+        s = rooms.take_cheapest(lengths[i])
+        if s is None:
             late.append(i)
-        # Sequences without room for this rest may have it for shorter ones.
-        for entry in full:
-            heapq.heappush(heap, entry)
+            continue
+        put(i, 0, lengths[i], s)
+        if used[s] < size:
+            rooms.add(size - used[s], spent[s], s)
     room = [(used[s] - size, s) for s in range(n) if used[s] < size]
     heapq.heapify(room)
     for i in late:
@@ -106,14 +141,16 @@ _PACKED = (
 )
 
 
-def cut_documents(docs: DataFrame, tokenizer: str, groups: int, size: int = LENGTH) -> DataFrame:
+def cut_documents(
+    docs: DataFrame, tokenizer: str, groups: int, size: int = LENGTH, special: str | None = None
+) -> DataFrame:
     """Full pieces (with checksum) and rests (with ids) of every row, under its group."""
     ship_package(docs.sparkSession)
     names = _CUT.replace("bigint", "").replace("int", "").replace("binary", "")
     names = [n.strip() for n in names.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer)
+        own = encoder(tokenizer, special)
         for batch in batches:
             rows: list[tuple] = []
             held = 0
@@ -147,10 +184,16 @@ def cut_documents(docs: DataFrame, tokenizer: str, groups: int, size: int = LENG
     return slim.mapInArrow(run, _CUT)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, size: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """One row per piece; ``sequence_id`` is unique over all groups."""
+def pack_documents(
+    docs: DataFrame, tokenizer: str, size: int = LENGTH, group: int = GROUP, special: str | None = None
+) -> DataFrame:
+    """One row per piece; ``sequence_id`` is unique over all groups.
+
+    ``tokenizer`` is a rank file; ``special`` a tokenizer file whose special tokens
+    keep their ids where they stand in a text (without it they are ordinary text).
+    """
     groups = max(1, -(-docs.count() // group))
-    pieces = cut_documents(docs, tokenizer, groups, size)
+    pieces = cut_documents(docs, tokenizer, groups, size, special)
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["hash", "doc_id", "start"], kind="stable", na_position="first")

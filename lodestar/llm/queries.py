@@ -76,7 +76,8 @@ def op5_line_crf(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_cost_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack_documents(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    ranks, special = (public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("tiktoken", "json"))
+    return packing.pack_documents(documents(spark, folder), ranks, special=special)
 
 
 def op7_simhash_trie(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,22 +1,19 @@
-"""Token ids of whole texts by public byte-level BPE ranks, with a bounded memory of pieces."""
+"""Token ids of whole texts by public byte-level BPE ranks."""
 
 from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
 import tiktoken
+from tokenizers import Tokenizer
 
 #: A cut before a space that precedes a visible character always lies between
 #: two matches of the splitting pattern, so pieces can be encoded one by one.
 CUT = re.compile(r" (?=\S)")
-#: Pieces that a worker remembers; others are encoded when they occur.
-REMEMBERED = 200_000
-#: Characters of the texts that are cut and encoded together.
-TOGETHER = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -25,78 +22,46 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder:
-    """Encodes whole texts; special tokens are ordinary text.
+    """Encodes whole texts as the tokenizer does without adding special tokens.
 
-    A remembered piece (without its leading space) maps to its ids as 16-bit
-    numbers. New pieces are encoded in one call for many texts and told apart
-    by the byte lengths of their tokens.
+    Special tokens that stand in a text (``special``: text to id) are told apart
+    first; without them all is ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: dict[str, int] | None = None):
         ranks = read_ranks(path)
-        if max(ranks.values()) > 0xFFFF:
+        self._special = special or {}
+        if max([*ranks.values(), *self._special.values()]) > 0xFFFF:
             raise ValueError("ids beyond 16 bits")
         self._encode = tiktoken.Encoding(
             "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
-        self._size = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
-        for token, rank in ranks.items():
-            self._size[rank] = len(token)
-        self._known: dict[str, bytes] = {}
-
-    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        if not pieces:
-            return {}
-        ids = np.array(self._encode(" " + " ".join(pieces)), dtype=np.uint16)
-        ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
-        cuts = np.searchsorted(np.cumsum(self._size[ids]), ends, side="right").tolist()
-        data = ids.tobytes()
-        return {p: data[2 * a : 2 * b] for p, a, b in zip(pieces, [0, *cuts], cuts)}
-
-    def _together(self, texts: list[str]) -> Iterator[np.ndarray]:
-        cut = [CUT.split(t) for t in texts]
-        fresh: set[str] = set()
-        for pieces in cut:
-            fresh.update(set(pieces[1:]).difference(self._known))
-        new = self._encode_pieces(list(fresh))
-        if len(self._known) + len(new) <= REMEMBERED:
-            self._known.update(new)
-            look = self._known.__getitem__
-        else:
-            look = _Both(self._known, new).__getitem__
-        for pieces in cut:
-            first = np.array(self._encode(pieces[0]), dtype=np.uint16).tobytes()
-            yield np.frombuffer(first + b"".join(map(look, pieces[1:])), dtype=np.uint16)
-
-    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        longest_first = sorted(self._special, key=len, reverse=True)
+        self._marks = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self._special else None
+
+    def encode(self, text: str) -> np.ndarray:
+        # Splitting leaves the special tokens at the odd places.
+        parts = self._marks.split(text) if self._marks else [text]
+        ids = self._encode(parts[0])
+        for i, part in enumerate(parts[1:], 1):
+            ids.extend([self._special[part]] if i % 2 else self._encode(part))
+        return np.array(ids, dtype=np.uint16)
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
-        held: list[str] = []
-        size = 0
-        for text in texts:
-            held.append(text)
-            size += len(text)
-            if size >= TOGETHER:
-                yield from self._together(held)
-                held, size = [], 0
-        yield from self._together(held)
+        return map(self.encode, texts)
 
 
-class _Both(dict):
-    """The new pieces, then the remembered ones."""
+_ENCODERS: dict[tuple[str, str | None], Encoder] = {}
 
-    def __init__(self, known: dict[str, bytes], new: dict[str, bytes]):
-        super().__init__(new)
-        self._known = known
 
-    def __missing__(self, piece: str) -> bytes:
-        return self._known[piece]
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, special_path: str | None = None) -> Encoder:
+    """One encoder per worker process and vocabulary; ``special_path`` is a tokenizer file that names special tokens."""
+    key = path, special_path
+    if key not in _ENCODERS:
+        special = {}
+        if special_path:
+            added = Tokenizer.from_file(special_path).get_added_tokens_decoder()
+            special = {token.content: number for number, token in added.items()}
+        _ENCODERS[key] = Encoder(path, special)
+    return _ENCODERS[key]

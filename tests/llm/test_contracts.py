@@ -157,7 +157,6 @@ def test_op5(spark, folder):
 
 def test_op6(spark, folder):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     texts = load(folder)
     encoded = tokenizer.encode_batch([t for _, t in texts], add_special_tokens=False)
     ids = {d: np.array([*e.ids, 0], dtype="<u4") for (d, _), e in zip(texts, encoded)}

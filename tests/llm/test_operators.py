@@ -491,3 +491,23 @@ def test_extra_columns_pass_through(spark, odd):
     n = document_table().num_rows
     for out in (pii.mask_pii(docs, None), line_dedup.drop_boilerplate(docs)):
         assert out.columns == docs.columns and out.count() == n
+
+
+def test_special_tokens_keep_their_ids():
+    from tokenizers import Tokenizer
+
+    from lodestar.llm import tokens
+
+    ranks, special = (public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("tiktoken", "json"))
+    own, named = tokens.encoder(ranks, special), Tokenizer.from_file(special)
+    texts = ["", "<|endoftext|>", "hello <|endoftext|> world", "a<|endoftext|><|endoftext|>b  ", "<|endoftext", "\n<|endoftext|> \n x"]
+    for text, ids in zip(texts, own.encode_all(texts)):
+        assert ids.tolist() == named.encode(text, add_special_tokens=False).ids, text
+
+
+def test_many_rests_that_share_no_sequence_are_placed_in_time():
+    import time
+
+    began = time.time()
+    placed = packing.place([600] * 4000)
+    assert time.time() - began < 1.5 and sum(n for parts in placed for _, n, _, _ in parts) == 600 * 4000
