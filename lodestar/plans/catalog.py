@@ -6,6 +6,7 @@ from lodestar.plans import (  # noqa: F401
     feature_queries,
     model_queries,
     ranking_queries,
+    stateful_queries,
     stream_queries,
 )
 from lodestar.plans.registry import all_oracles, all_queries

@@ -539,6 +539,15 @@ VIEWS["strongest"] = (
     + ")"
 )
 
+# All features of a row in one sorted list: strongest first, ties in feature order.
+VIEWS["top_listed"] = (
+    "SELECT user_id, item_id, rank, c_popularity_score, c_user_item_dot_product, list_sort(["
+    + ", ".join(
+        f"{{'size': -abs(c_{n}), 'i': {i}, 'feature': '{n}'}}" for i, n in enumerate(C.RANKING_FEATURES)
+    )
+    + "]) AS sorted FROM attributed"
+)
+
 
 def attributed(t: Tables):
     scored = ranking.score_candidates(feature_rows(t))
@@ -581,10 +590,10 @@ def _(t: Tables):
 @query(
     "developer_attribution",
     """
-SELECT a.user_id, a.item_id, a.rank::INTEGER AS rank, 'v1' AS model_version, round(c_popularity_score, 6) + 0.0 AS popularity,
-  round(c_user_item_dot_product, 6) + 0.0 AS dot, s.top
-FROM attributed a JOIN (SELECT user_id, item_id, string_agg(feature, ',' ORDER BY pos) AS top FROM strongest
-  WHERE pos <= 5 GROUP BY ALL) s ON s.user_id = a.user_id AND s.item_id = a.item_id
+SELECT user_id, item_id, rank::INTEGER AS rank, 'v1' AS model_version, round(c_popularity_score, 6) + 0.0 AS popularity,
+  round(c_user_item_dot_product, 6) + 0.0 AS dot,
+  array_to_string(list_transform(sorted[1:5], lambda x: x.feature), ',') AS top
+FROM top_listed
 """,
 )
 def _(t: Tables):

@@ -94,20 +94,6 @@ def _(t: Tables):
     return rows.select(us("window_start", "window_us"), "event_type", "events")
 
 
-@query(
-    "ingestion_error_stream",
-    f"""
-SELECT (epoch_us(created_at) // 300000000 * 300000000)::BIGINT AS window_us,
-  CASE WHEN {AHEAD_SQL} > 0 THEN 'future' ELSE 'expired' END AS reason, count(*) AS errors,
-  count(*) / 300.0::DOUBLE > {C.ERROR_RATE_ALERT} AS alert
-FROM interactions WHERE NOT {CLOCK_SQL} GROUP BY 1, 2
-""",
-)
-def _(t: Tables):
-    rows = io.run_update(S.errors(events(t)), "errors", ["window_start", "reason"])
-    return rows.select(us("window_start", "window_us"), "reason", "errors", "alert")
-
-
 @query(
     "rate_limit_stream",
     """
