@@ -64,6 +64,20 @@ def unique_viewers_hll(daily: DataFrame) -> DataFrame:
 # ---- cold start --------------------------------------------------------------
 
 
+#: Standard error of a default sketch (2^12 cells), as a share of the count.
+SKETCH_ERROR = 1.04 / 2**6
+
+
+def sketch_check(estimates: DataFrame, exact: DataFrame, errors: float = 3.0) -> DataFrame:
+    """Exact viewers of every item, and whether its estimate lies within ``errors`` standard errors (or one viewer)."""
+    both = exact.select("item_id", "viewers").join(
+        estimates.select("item_id", F.col("viewers").alias("estimate")), "item_id", "left"
+    )
+    allowed = F.greatest(F.lit(1.0), F.lit(errors * SKETCH_ERROR) * F.col("viewers"))
+    within = F.abs(F.coalesce("estimate", F.lit(-1)) - F.col("viewers")) <= allowed
+    return both.select("item_id", "viewers", within.alias("within"))
+
+
 def user_interaction_count(interactions: DataFrame) -> DataFrame:
     return interactions.groupBy("user_id").agg(F.count("*").alias("interaction_count"))
 

@@ -353,6 +353,15 @@ def _(t: Tables):
     return features.unique_viewers_hll(features.unique_viewers_sketch(t.interactions))
 
 
+@query(
+    "unique_viewers_bound",
+    "SELECT item_id, count(DISTINCT user_id) AS viewers, true AS within FROM interactions GROUP BY item_id",
+)
+def _(t: Tables):
+    estimates = features.unique_viewers_hll(features.unique_viewers_sketch(t.interactions))
+    return features.sketch_check(estimates, features.unique_viewers_exact(t.interactions))
+
+
 @query(
     "unique_viewers_exact",
     "SELECT item_id, count(DISTINCT user_id) AS viewers FROM interactions GROUP BY item_id",

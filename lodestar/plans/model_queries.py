@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import factorial
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from lodestar import constants as C
 from lodestar.functions import events as E
 from lodestar.operators import evaluation as V
-from lodestar.operators import explain, features, ranking, retrieval, training
+from lodestar.operators import explain, features, ranking, retrieval, training, tree_shap
 from lodestar.plans import feed
 from lodestar.plans.feature_queries import DIM, rounded, rounded_sql
 from lodestar.plans.ranking_queries import feature_rows, serving
@@ -522,6 +525,76 @@ def _(t: Tables):
     return explain.coalition_attribution(examples, model, ["user_id", "item_id"])
 
 
+@query("feature_attribution_trees")
+def _(t: Tables):
+    examples = cut_lineage(labelled_features(t))
+    model = training.train_ranker(examples, rounds=ROUNDS)
+    return tree_shap.tree_attribution(examples, tree_shap.trees_of(model), ["user_id", "item_id"])
+
+
+def _fixed_trees() -> list[tree_shap.Tree]:
+    """Three small trees over the ranking features; their covers are counted over the rows they explain."""
+    dot, fresh, affinity, _, _, ctr, popularity = range(len(C.RANKING_FEATURES))
+    Split, Leaf = tree_shap.Split, tree_shap.Leaf
+    return [
+        Split(dot, 0.2037, Leaf(-0.4), Split(popularity, 0.3011, Leaf(0.1), Leaf(0.6))),
+        Split(
+            fresh,
+            0.0513,
+            Split(affinity, 0.1519, Leaf(-0.2), Leaf(0.3)),
+            Split(dot, 0.0117, Leaf(0.05), Leaf(0.5)),
+        ),
+        Split(ctr, 0.2023, Split(dot, 0.3517, Split(dot, 0.1013, Leaf(0.0), Leaf(0.2)), Leaf(0.7)), Leaf(-0.1)),
+    ]
+
+
+def _tree_attribution_sql() -> str:
+    """Every Shapley value as the sum over leaves and subsets of the other features on the leaf's path."""
+    covers: list[str] = []
+    terms: dict[int, list[str]] = {i: [] for i in range(len(C.RANKING_FEATURES))}
+    base: list[str] = []
+
+    def visit(tree: tree_shap.Tree, here: list[str], path: dict[int, tuple[list[str], list[str]]]) -> None:
+        number = len(covers)
+        covers.append(f"count(*) FILTER ({' AND '.join(here) or 'true'})::DOUBLE AS n{number}")
+        if isinstance(tree, tree_shap.Split):
+            for child, sign in ((tree.left, "<="), (tree.right, ">")):
+                test = f"{C.RANKING_FEATURES[tree.feature]} {sign} {tree.threshold}"
+                tests, shares = path.get(tree.feature, ([], []))
+                share = f"coalesce(n{len(covers)} / nullif(n{number}, 0), 0)"
+                visit(child, [*here, test], path | {tree.feature: ([*tests, test], [*shares, share])})
+            return
+        stays = {f: f"(CASE WHEN {' AND '.join(tests)} THEN 1.0::DOUBLE ELSE 0 END)" for f, (tests, _) in path.items()}
+        share = {f: f"({' * '.join(shares)})" for f, (_, shares) in path.items()}
+        base.append(" * ".join([f"{tree.value}::DOUBLE", *share.values()]))
+        n = len(path)
+        for j in path:
+            others = [k for k in path if k != j]
+            for size in range(n):
+                weight = factorial(size) * factorial(n - size - 1) / factorial(n)
+                for chosen in combinations(others, size):
+                    rest = [stays[k] if k in chosen else share[k] for k in others]
+                    terms[j].append(" * ".join([f"{tree.value * weight}::DOUBLE", f"({stays[j]} - {share[j]})", *rest]))
+
+    for tree in _fixed_trees():
+        visit(tree, [], {})
+    columns = [
+        f"round({' + '.join(terms[i]) or '0.0::DOUBLE'}, 6) + 0.0 AS c_{n}" for i, n in enumerate(C.RANKING_FEATURES)
+    ]
+    return (
+        f"covers AS (SELECT {', '.join(covers)} FROM feats)\n---\n"
+        f"SELECT user_id, item_id, {', '.join(columns)}, round({' + '.join(base)}, 6) + 0.0 AS base_margin FROM feats, covers"
+    )
+
+
+@query("tree_attribution", _tree_attribution_sql())
+def _(t: Tables):
+    rows = cut_lineage(feature_rows(t).select("user_id", "item_id", *C.RANKING_FEATURES))
+    found = tree_shap.tree_attribution(rows, tree_shap.with_covers(_fixed_trees(), rows), ["user_id", "item_id"])
+    names = [*[f"c_{n}" for n in C.RANKING_FEATURES], "base_margin"]
+    return found.select("user_id", "item_id", *[(F.round(n, 6) + F.lit(0.0)).alias(n) for n in names])
+
+
 _WEIGHTS = dict(zip(C.RANKING_FEATURES, ranking.LINEAR_WEIGHTS))
 VIEWS["attributed"] = (
     "SELECT user_id, item_id, rank, "

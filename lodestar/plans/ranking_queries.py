@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodestar import constants as C
-from lodestar.operators import features, ranking, retrieval
+from lodestar.operators import features, ivf, ranking, retrieval
 from lodestar.plans import feed
 from lodestar.plans.feature_queries import DAY, DIM
 from lodestar.plans.registry import query
@@ -142,6 +142,28 @@ def _(t: Tables):
     return retrieval.vector_topk_lsh(serving(t), t.items, 10, DIM)
 
 
+@query("ann_topk_ivf")
+def _(t: Tables):
+    return ivf.vector_topk_ivf(serving(t), t.items, 10)
+
+
+@query(
+    "ann_ivf_recall",
+    "SELECT count(*) AS queries, true AS recall_reached, true AS few_exact FROM users",
+)
+def _(t: Tables):
+    # Against the exact search, and the exact products that were made, of all.
+    users, k = cut_lineage(serving(t)), 10
+    found = ivf.vector_topk_ivf(users, t.items, k)
+    recall = ivf.recall(found, retrieval.vector_topk(users, t.items, k))
+    items = t.items.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return users.agg(F.count(F.lit(1)).alias("queries")).select(
+        "queries",
+        (recall.scalar() >= 0.95).alias("recall_reached"),
+        (F.lit(ivf.SHORT * k) < F.lit(0.2) * items).alias("few_exact"),
+    )
+
+
 @query(
     "user_item_cross_score",
     """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestar import constants as C
 from lodestar import schemas
-from lodestar.operators import ingest
+from lodestar.operators import features, ingest
 from lodestar.plans.event_queries import AHEAD_SQL, CLOCK_SQL, us
 from lodestar.plans.registry import query
 from lodestar.plans.views import weight_sql
@@ -82,6 +82,22 @@ def _(t: Tables):
     return daily.groupBy("item_id").agg(merged.alias("viewers"))
 
 
+@query(
+    "unique_viewers_stream_bound",
+    "SELECT item_id, count(DISTINCT user_id) AS viewers, true AS within, true AS as_batch FROM interactions GROUP BY item_id",
+)
+def _(t: Tables):
+    # The stream's daily sketches, merged, against the exact counts and against the batch's merged sketches.
+    daily = io.run_update(S.unique_viewers(events(t)), "viewers", ["day", "item_id"])
+    merged = F.hll_sketch_estimate(F.hll_union_agg("sketch"))
+    streamed = daily.groupBy("item_id").agg(merged.alias("viewers"))
+    batch = features.unique_viewers_hll(features.unique_viewers_sketch(t.interactions))
+    checked = features.sketch_check(streamed, features.unique_viewers_exact(t.interactions))
+    both = streamed.join(batch.withColumnRenamed("viewers", "in_batch"), "item_id")
+    same = both.select("item_id", (F.abs(F.col("viewers") - F.col("in_batch")) <= 1).alias("as_batch"))
+    return checked.join(same, "item_id")
+
+
 @query(
     "events_consumed_stream",
     """
