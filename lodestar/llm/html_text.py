@@ -9,6 +9,8 @@ the tree and writes text as it would stand on the page:
   tables are set off by an empty line; space runs are one space, except in pre;
 * list items have a bullet or their number, nested lists are indented by two;
 * table cells are aligned in columns as wide as their widest line, by " | ";
+* a text area shows its text, a drop-down its chosen option (the first without a
+  choice), a list of choices all of them; a cell keeps its columns in the rows it spans;
 * br breaks a line, hr is a line of dashes, images give their alt text.
 
 Not visible: head, script, style, template, noscript and other data elements;
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,7 +42,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset(
     "head script style template noscript title meta link base iframe object audio video canvas svg math "
-    "datalist noframes noembed textarea select col colgroup param source track".split()
+    "datalist noframes noembed col colgroup param source track".split()
 )
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -67,7 +70,10 @@ IMPLIED = {
 TABLES = 8
 LISTS = frozenset({"ul", "ol", "menu", "dir"})
 
-_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*+)>""")
+_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^"'>])*+)>""")
+#: Characters within which nearly every tag ends; longer ones are found by ``_TagEnds``.
+SHORT_TAG = 2000
+_NAME_END, _SIGN = re.compile(r"[\s/>]"), re.compile(r"""["'>]""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACES = re.compile(r"[ \t\n\f\r]+")
 _CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
@@ -78,6 +84,16 @@ _HIDES = {"display": {"none"}, "visibility": {"hidden", "collapse"}}
 _HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 
 
+def _number(text: str | None, other: int, most: int) -> int:
+    """A decimal attribute up to ``most``; ``other`` if it is none."""
+    text = (text or "").strip()
+    if not (text.isascii() and text.isdecimal()):
+        return other
+    text = text.lstrip("0") or "0"
+    # Digits are counted first: a page may hold any number of them.
+    return most if len(text) > len(str(most)) else min(int(text), most)
+
+
 class Node:
     """An element; ``children`` are nodes and strings."""
 
@@ -153,10 +169,60 @@ class _Builder:
             self.close_to({tag}, fence - {tag})
 
 
+class _TagEnds:
+    """Where tags of a page end, each answer following from signs that are listed once.
+
+    A tag ends at the first ``>`` outside quotes. What follows a sign is the same
+    for all tags that come to it, so it is remembered: tags that never end cost
+    their own length only.
+    """
+
+    def __init__(self, page: str):
+        self._page, self._length = page, len(page)
+        self._signs = [m.start() for m in _SIGN.finditer(page)]
+        self._places = {q: [p for p in self._signs if page[p] == q] for q in "\"'"}
+        self._names = [m.start() for m in _NAME_END.finditer(page)]
+        self._known: dict[int, int] = {}
+
+    def _next(self, places: list[int], at: int) -> int:
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else -1
+
+    def find(self, lt: int) -> re.Match | None:
+        """The match of the tag at ``lt``, if it is one that ends."""
+        start = lt + 1 + self._page.startswith("/", lt + 1)
+        if not (start < self._length and self._page[start].isascii() and self._page[start].isalpha()):
+            return None
+        name_end = self._next(self._names, start)
+        end = self._end(name_end) if name_end >= 0 else -1
+        return _TAG.match(self._page, lt, end + 1) if end >= 0 else None
+
+    def _end(self, at: int) -> int:
+        passed = []
+        while True:
+            sign = self._next(self._signs, at)
+            if sign < 0 or sign in self._known:
+                end = self._known.get(sign, -1)
+                break
+            passed.append(sign)
+            if self._page[sign] == ">":
+                end = sign
+                break
+            close = self._next(self._places[self._page[sign]], sign + 1)
+            if close < 0:
+                end = -1
+                break
+            at = close + 1
+        for sign in passed:
+            self._known[sign] = end
+        return end
+
+
 def parse(page: str) -> Node:
-    """The tree of a page. Every character is looked at a bounded number of times."""
+    """The tree of a page, in time linear in its length but for look-ups in sorted places."""
     build = _Builder()
     at, n = 0, len(page)
+    ends: _TagEnds | None = None
     lowered: str | None = None
     while at < n:
         lt = page.find("<", at)
@@ -173,7 +239,11 @@ def parse(page: str) -> Node:
             end = page.find(">", lt)
             at = n if end < 0 else end + 1
             continue
-        match = _TAG.match(page, lt)
+        match = _TAG.match(page, lt, lt + SHORT_TAG) if ends is None else ends.find(lt)
+        if not match and ends is None and n - lt > SHORT_TAG:
+            # Tags that go on for long: from here on their ends are looked up.
+            ends = _TagEnds(page)
+            match = ends.find(lt)
         if not match:
             # Not a tag, or one that never ends: its sign is text.
             nxt = page.find("<", lt + 1)
@@ -368,6 +438,11 @@ def render(root: Node, hidden: set[str], depth: int = 0) -> list[str]:
         elif tag == "input":
             if (node.attribute("type") or "text").lower() in ("submit", "button", "reset"):
                 page.text(node.attribute("value") or "")
+        elif tag == "select":
+            # A list of choices shows all of them, a drop-down the chosen one.
+            for option in _shown_options(node, hidden):
+                stack.append((" ", False))
+                stack.extend((child, False) for child in reversed(option.children))
         elif tag == "table" and depth < TABLES:
             page.break_line(apart=True)
             page.block(_table(node, hidden, depth + 1))
@@ -382,6 +457,23 @@ def render(root: Node, hidden: set[str], depth: int = 0) -> list[str]:
     return page.lines
 
 
+def _shown_options(select: Node, hidden: set[str]) -> list[Node]:
+    """Options of a select that a page shows, last first."""
+    options: list[Node] = []
+    stack: list = list(reversed(select.children))
+    while stack:
+        node = stack.pop()
+        if isinstance(node, Node) and visible(node, hidden):
+            if node.tag == "option":
+                options.append(node)
+            else:
+                stack.extend(reversed(node.children))
+    if select.attribute("multiple") is not None or _number(select.attribute("size"), 1, 1000) > 1:
+        return options[::-1]
+    chosen = [o for o in options if o.attribute("selected") is not None] or options[:1]
+    return chosen[-1:]
+
+
 def _open_block(page: _Page, node: Node, tag: str, stack: list, counters: list, pre: bool) -> None:
     """Breaks the line, sets marks and indents, and leaves the end of the block on the stack."""
     nested = tag in LISTS and bool(counters)
@@ -389,8 +481,8 @@ def _open_block(page: _Page, node: Node, tag: str, stack: list, counters: list,
     page.break_line(apart)
     before = page.indent
     if tag in LISTS:
-        start = node.attribute("start") or "" if tag == "ol" else ""
-        counters.append([tag == "ol", int(start) if start.isdecimal() else 1])
+        start = _number(node.attribute("start"), 1, 2**31 - 1) if tag == "ol" else 1
+        counters.append([tag == "ol", start])
     elif tag == "li":
         numbered = counters and counters[-1][0]
         page.mark = f"{counters[-1][1]}. " if numbered else "* "
@@ -455,13 +547,26 @@ def _table(table: Node, hidden: set[str], depth: int) -> list[str]:
     if holder.children:
         lines += render(holder, hidden, depth)
     grid: list[list[list[str]]] = []
+    # Columns that a cell of an earlier row goes on to fill, with the rows left of it.
+    taken: dict[int, int] = {}
     for row in rows:
         cells: list[list[str]] = []
+        going = {k: n - 1 for k, n in taken.items() if n > 1}
+
+        def skip_taken() -> None:
+            while len(cells) in taken:
+                cells.append([])
+
         for cell in row:
+            skip_taken()
+            # Browsers limit a span to 1000 columns and 65534 rows; 0 rows are all that follow.
+            across = max(1, _number(cell.attribute("colspan"), 1, 1000))
+            down = _number(cell.attribute("rowspan"), 1, 65534) or 65534
+            if down > 1:
+                going.update((len(cells) + k, down - 1) for k in range(across))
             cells.append(render(cell, hidden, depth))
-            span = cell.attribute("colspan") or "1"
-            # Browsers limit a span to 1000 columns.
-            cells.extend([] for _ in range(min(int(span) if span.isdecimal() else 1, 1000) - 1))
+            cells.extend([] for _ in range(across - 1))
+        taken = going
         while cells and not cells[-1]:
             cells.pop()
         if cells:

@@ -179,7 +179,13 @@ PAGES = [
     ("<dl><dt>t<dd>d1<dd>d2<dt>u</dl>", "t\n  d1\n  d2\nu"),
     ("<table><tr><td>a<table><tr><td>in</table><td>b</table>", "a  | b\n   |\nin |"),
     ("<h1>t</h1>x<hr>y", "t\n\nx\n\n--------------------\n\ny"),
-    ("<textarea>no</textarea><select><option>no</select><title>no</title>ok", "ok"),
+    ("<textarea>a &amp; b</textarea><select><option>c<option>no</select><title>no</title>ok", "a & bc ok"),
+    ("<select><option>no<option selected>yes<option>no</select>", "yes"),
+    ("<select multiple><optgroup label=g><option>a<option>b</optgroup></select>", "a b"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a | b\n  | c\nd | e"),
+    ("<table><tr><td rowspan=0 colspan=2>a<td>b<tr><td>c</table>", "a |  | b\n  |  | c"),
+    ("<ol start=" + "1" * 5000 + "><li>x</ol>", "2147483647. x"),
+    ("<table><tr><td colspan=" + "0" * 5000 + "2>a<td>b</table>", "a |  | b"),
     ("<p>a<table><tr><td>1</table>b", "a\n\n1\n\nb"),
     ("<div><div>x</div></div><!-- open", "x"),
     ("", ""),
@@ -511,3 +517,31 @@ def test_many_rests_that_share_no_sequence_are_placed_in_time():
     began = time.time()
     placed = packing.place([600] * 4000)
     assert time.time() - began < 1.5 and sum(n for parts in placed for _, n, _, _ in parts) == 600 * 4000
+
+
+def test_tags_that_never_end_cost_their_length():
+    import time
+
+    from lodestar.llm import html_text
+
+    for piece in ("<a ", "<a", '<a "', "<a '", "<a \"'", "</b x='"):
+        page = piece * (1_000_000 // len(piece))
+        began = time.time()
+        html_text.parse(page)
+        assert time.time() - began < 8, piece
+
+
+def test_long_tags_are_found_as_short_ones():
+    import random
+
+    from lodestar.llm import html_text
+
+    rng = random.Random(6)
+    for _ in range(300):
+        page = "".join(rng.choice(["<a ", "<b", ">", '"', "'", " x", "/", "</p", "=", "<!--", "-->"]) for _ in range(60))
+        short, at = html_text.SHORT_TAG, [i for i, c in enumerate(page) if c == "<"]
+        ends = html_text._TagEnds(page)
+        assert short == 2000
+        for lt in at:
+            want, got = html_text._TAG.match(page, lt), ends.find(lt)
+            assert (want and want.span()) == (got and got.span()), page[lt:]
