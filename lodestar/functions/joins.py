@@ -1,4 +1,4 @@
-"""Joins that spread a busy key."""
+"""Joins of many rows with a table of one row per key, without a busy key's rows in one task."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Tasks over which the rows of one key are dealt.
 PARTS = 16
+#: Bytes of a table that is sent whole to the tasks instead.
+LOOKUP_BYTES = 64 << 20
 
 
 def spread_join(
@@ -21,3 +23,25 @@ def spread_join(
     left = many.withColumn("_part", F.pmod(F.xxhash64(deal), F.lit(parts)).cast("int"))
     right = one.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     return left.join(right, [*on, "_part"], how).drop("_part")
+
+
+def lookup_join(
+    many: DataFrame,
+    one: DataFrame,
+    on: Sequence[str],
+    deal: Column,
+    how: str = "inner",
+    row_bytes: int = 256,
+    most_bytes: int = LOOKUP_BYTES,
+    counted: DataFrame | None = None,
+) -> DataFrame:
+    """Join with a stored or cheap table of one row per key, sent to the tasks if its counted rows allow it.
+
+    Rows of ``many`` then stay where they are. Counting stops at the bound; beyond
+    it the rows of a key are spread (``spread_join``). ``row_bytes`` is what a row
+    of ``one`` takes at most; ``counted`` is a cheaper frame with no fewer rows.
+    """
+    most = max(1, most_bytes // row_bytes)
+    if (one if counted is None else counted).limit(most + 1).count() <= most:
+        return many.join(F.broadcast(one), list(on), how)
+    return spread_join(many, one, on, deal, how)

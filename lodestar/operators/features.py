@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestar import constants as C
 from lodestar import schemas
 from lodestar.functions import events as E
-from lodestar.functions.joins import spread_join
+from lodestar.functions.joins import lookup_join, spread_join
 from lodestar.functions import hashing as H
 from lodestar.functions import vectors as V
 
@@ -374,11 +374,12 @@ def training_frame(interactions: DataFrame, items: DataFrame, users: DataFrame)
 
     ``users`` holds the vectors of the dot product; without one it is 0.0.
     """
-    encoded = spread_join(
+    encoded = lookup_join(
         interactions.join(sequences_before(interactions), "event_id"),
         items.select("item_id", "category", "embedding", F.col("created_at").alias("published_at")),
         ["item_id"],
         F.col("event_id"),
+        row_bytes=16 << 10,  # vectors of up to 2,000 numbers
     ).withColumn("day", F.to_date("created_at"))
     rated = spread_join(encoded, daily_ctr(interactions), ["item_id", "day"], F.col("event_id"), "left")
     known = rated.join(users.select("user_id", F.col("embedding").alias("u")), "user_id", "left")
@@ -399,7 +400,7 @@ def training_frame(interactions: DataFrame, items: DataFrame, users: DataFrame)
 
 
 def categorical_encode(interactions: DataFrame, items: DataFrame) -> DataFrame:
-    joined = spread_join(interactions, items.select("item_id", "category"), ["item_id"], F.col("event_id"))
+    joined = lookup_join(interactions, items.select("item_id", "category"), ["item_id"], F.col("event_id"))
     return joined.select(
         "user_id",
         "item_id",

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lodestar import constants as C
 from lodestar.functions import events as E
 from lodestar.functions import hashing as H
-from lodestar.functions.joins import spread_join
+from lodestar.functions.joins import lookup_join
 from lodestar.functions.numbering import global_row_number
 from lodestar.operators.retrieval import item_matrix
 
@@ -45,7 +45,7 @@ def ranking_features(
         .join(popularity.select("item_id", "popularity"), "item_id", "left")
     )
     # Injected items are candidates of every user.
-    described = spread_join(candidates, catalogue, ["item_id"], F.col("user_id"), "left")
+    described = lookup_join(candidates, catalogue, ["item_id"], F.col("user_id"), "left", counted=items)
     joined = described.join(affinity, ["user_id", "category"], "left")
     values = [
         F.col("score"),

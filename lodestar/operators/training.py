@@ -19,7 +19,7 @@ from lodestar import constants as C
 from lodestar.functions import events as E
 from lodestar.functions import hashing as H
 from lodestar.functions import vectors as V
-from lodestar.functions.joins import spread_join
+from lodestar.functions.joins import lookup_join, spread_join
 from lodestar.functions.numbering import global_row_number, hash_positions
 from lodestar.operators import features
 from lodestar.operators.retrieval import vector_topk
@@ -136,7 +136,7 @@ def training_examples(
         F.col("created_at").alias("published_at"),
     )
     # Examples of an event stay together; busy items are dealt over several tasks.
-    described = spread_join(rows.join(context, "event_id"), attributes, ["item_id"], F.struct("event_id", "j"))
+    described = lookup_join(rows.join(context, "event_id"), attributes, ["item_id"], F.struct("event_id", "j"))
     rated = spread_join(
         described, features.daily_ctr(interactions), ["item_id", "day"], F.struct("event_id", "j"), "left"
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestar import constants as C
 from lodestar.functions import events as E
 from lodestar.functions import hashing as H
-from lodestar.functions.joins import spread_join
+from lodestar.functions.joins import lookup_join
 from lodestar.operators import experiments as X
 from lodestar.operators import features, ranking, retrieval
 from lodestar.sources.storage import cut_lineage
@@ -191,7 +191,7 @@ def personalized_feed(
     exploration, trending, flags = shared_lists_of(stats)
     catalogue = item_profiles(stats, items, flags, now)
     found = packed_candidates(profiles, items, exploration, trending, settings.depth)
-    joined = spread_join(found, catalogue, ["item_id"], F.col("user_id"), "left")
+    joined = lookup_join(found, catalogue, ["item_id"], F.col("user_id"), "left", counted=items)
     affinity = F.coalesce(F.element_at("affinity", F.col("category")), F.lit(0.0))
     zero = F.lit(0.0)
     values = [
