@@ -78,9 +78,10 @@ def drop_boilerplate(
     dealt to PARTS keys; the list of hot hosts is bounded by HOT_SHARE.
     """
     # The caller's columns travel as one, so that none can clash with those made here.
-    rows = pages.select(F.struct("*").alias("row"), F.col(host).alias("host"), F.col(text).alias("text"))
-    totals = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    every = rows.agg(F.count(F.lit(1))).scalar()
+    rows = pages.select(F.struct("*").alias("row"))
+    own_host, own_text = F.col("row").getField(host), F.col("row").getField(text)
+    totals = pages.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"))
+    every = pages.agg(F.count(F.lit(1))).scalar()
     # At most HOT_SHARE rows by arithmetic, whatever the data.
     hot = totals.where(F.col("n") * HOT_SHARE > every)
     hot = hot.select(F.col("host").alias("hot_host"), F.lit(PARTS).alias("parts"))
@@ -95,12 +96,12 @@ def drop_boilerplate(
             F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)).alias("bad_part"),
         )
     )
-    deal = F.xxhash64("text", *([] if "doc_id" not in pages.columns else ["row.doc_id"]))
-    dealt = rows.join(F.broadcast(hot), F.col("host").eqNullSafe(F.col("hot_host")), "left").select(
-        "row", "host", "text", F.pmod(deal, F.coalesce(F.col("parts"), F.lit(1))).cast("int").alias("part")
+    deal = F.xxhash64(own_text, *([] if "doc_id" not in pages.columns else [F.col("row.doc_id")]))
+    dealt = rows.join(F.broadcast(hot), own_host.eqNullSafe(F.col("hot_host")), "left").select(
+        "row", F.pmod(deal, F.coalesce(F.col("parts"), F.lit(1))).cast("int").alias("part")
     )
-    joined = dealt.join(bad, F.col("host").eqNullSafe(F.col("bad_host")) & (F.col("part") == F.col("bad_part")), "left")
-    lines = _lines(F.col("text"))
+    joined = dealt.join(bad, own_host.eqNullSafe(F.col("bad_host")) & (F.col("part") == F.col("bad_part")), "left")
+    lines = _lines(own_text)
     kept = F.filter(lines, lambda x: ~(F.array_contains("bad", F.xxhash64(x)) & x.rlike(_WORD)))
     columns = []
     for name in pages.columns:
@@ -110,8 +111,8 @@ def drop_boilerplate(
         columns.append(column.alias(name))
     n_lines = F.coalesce(F.size(lines), F.lit(0))
     if dropped:
-        gone = F.when(F.col("bad").isNull() | F.col("text").isNull(), 0).otherwise(n_lines - F.size(kept))
+        gone = F.when(F.col("bad").isNull() | own_text.isNull(), 0).otherwise(n_lines - F.size(kept))
         columns.append(F.coalesce(gone, F.lit(0)).cast("bigint").alias(dropped))
     if total:
-        columns.append(F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("bigint").alias(total))
+        columns.append(F.when(own_text.isNull(), 0).otherwise(n_lines).cast("bigint").alias(total))
     return joined.select(*columns)
