@@ -115,22 +115,21 @@ def assign_shards(
         found = np.searchsorted(positions, value.to_numpy(np.int64), side="left")
         return pd.Series((found % len(positions)).astype(np.int32))
 
-    hashed = df.withColumn("_at", F.xxhash64(F.lit("key"), F.col(key))).withColumn("_arc", arc_of("_at"))
-    seen = {row["_arc"]: row["count"] for row in hashed.groupBy("_arc").count().collect()}
+    # The caller's columns travel as one, so that none can clash with those made here.
+    ties = [c.alias(f"tie_{i}") for i, c in enumerate(tie_break)]
+    rows = df.select(F.struct("*").alias("row"), F.col(key).alias("key"), *ties)
+    hashed = rows.withColumn("at", F.xxhash64(F.lit("key"), "key")).withColumn("arc", arc_of("at"))
+    seen = {row["arc"]: row["count"] for row in hashed.groupBy("arc").count().collect()}  # a row per arc
     counts = [seen.get(a, 0) for a in range(len(owners))]
     room = capacities(sum(counts), shards, epsilon)
     # Bounded by shards x virtual + shards rows, whatever the data.
     intervals = spark.createDataFrame(
         walk(counts, owners, room) or [(-1, 0, 0, 0, 0)],
-        "_to int, _first bigint, _end bigint, shard int, _slot bigint",
-    )
-    order = Window.partitionBy("_arc").orderBy("_at", F.col(key), *tie_break)
-    ranked = hashed.withColumn("_rank", F.row_number().over(order).cast("bigint") - 1)
-    hit = (
-        (F.col("_arc") == F.col("_to"))
-        & (F.col("_rank") >= F.col("_first"))
-        & (F.col("_rank") < F.col("_end"))
+        "to int, first bigint, end bigint, shard int, from_slot bigint",
     )
+    order = Window.partitionBy("arc").orderBy("at", "key", *[f"tie_{i}" for i in range(len(ties))])
+    ranked = hashed.withColumn("rank", F.row_number().over(order).cast("bigint") - 1)
+    hit = (F.col("arc") == F.col("to")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end"))
     return ranked.join(F.broadcast(intervals), hit).select(
-        *df.columns, "shard", (F.col("_slot") + F.col("_rank") - F.col("_first")).alias("slot")
+        "row.*", "shard", (F.col("from_slot") + F.col("rank") - F.col("first")).alias("slot")
     )

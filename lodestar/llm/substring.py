@@ -370,9 +370,12 @@ def remove_repeats(docs: DataFrame, bits: int = BITS) -> DataFrame:
         for batch in batches:
             pairs = zip(batch.column("text").to_pylist(), batch.column("_ranges").to_pylist())
             new = [b" ".join(kept_words(t, r)[0]).decode() if r else t for t, r in pairs]
-            batch = batch.drop_columns(["_ranges"])
-            at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
-
-    joined = _with_ranges(docs, bits).select(*docs.columns, "_ranges")
-    return joined.mapInArrow(run, docs.schema)
+            kind = batch.schema.field("text").type
+            yield pa.RecordBatch.from_arrays([batch.column("others"), pa.array(new, kind)], names=["others", "text"])
+
+    # The caller's other columns travel as one, so that none can clash with those made here.
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("others")
+    packed = docs.select(others, "doc_id", "text")
+    joined = _with_ranges(packed, bits).select("others", "text", "_ranges")
+    kept = joined.mapInArrow(run, packed.select("others", "text").schema)
+    return kept.select(*[F.col("text") if c == "text" else F.col("others").getField(c).alias(c) for c in docs.columns])

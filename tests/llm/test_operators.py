@@ -545,3 +545,51 @@ def test_long_tags_are_found_as_short_ones():
         for lt in at:
             want, got = html_text._TAG.match(page, lt), ends.find(lt)
             assert (want and want.span()) == (got and got.span()), page[lt:]
+
+
+#: Names that operators give to columns of their own.
+TAKEN = (
+    "row host bad bad_host bad_part hot_host parts part key order kept fp fps turn root node least_id first_id "
+    "component_id at arc rank tie_0 to first end from_slot others _id _ranges low high spans n_words items k t "
+    "text_hash n_features weight score falling word runs _arc _rank _slot _to _part _bad _bad_host _hot_parts _kept _unnamed"
+).split()
+
+
+def _operators():
+    from lodestar.llm import resampling, substring, suffix_arrays
+
+    def items(docs):
+        return docs.sparkSession.createDataFrame([(1, "one morning the river rose over the old stone bridge")], "item_id long, text string")
+
+    return {
+        "shards": lambda docs: sharding.assign_shards(docs, "doc_id", 4, tie_break=[F.crc32("text")]).drop("shard", "slot"),
+        "lines": line_dedup.drop_boilerplate,
+        "near": simhash.drop_near_duplicates,
+        "repeats": substring.remove_repeats,
+        "pii": lambda docs: pii.mask_pii(docs, None),
+        "leaks": lambda docs: suffix_arrays.remove_contaminated(docs, items(docs)),
+        "draw": lambda docs: resampling.draw_documents(docs, items(docs), percent=50),
+    }
+
+
+@pytest.mark.parametrize("name", ["shards", "lines", "near", "repeats", "pii", "leaks", "draw"])
+def test_columns_of_any_name_keep_their_values(spark, odd, name):
+    docs = spark.read.parquet(f"{odd}/documents.parquet").select("doc_id", "source", "text")
+    run = _operators()[name]
+    marks = [F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias(c) for c in TAKEN]
+    plain, marked = run(docs), run(docs.select("*", *marks))
+    assert marked.columns == [*docs.columns, *TAKEN]
+    found = marked.collect()
+    # Of rows that repeat both id and text, any may stand for them.
+    kept = sorted(repr((r.doc_id, r.text)) for r in plain.collect())
+    assert sorted(repr((r.doc_id, r.text)) for r in found) == kept
+    for r in found:
+        assert all(r[c] == f"{c}:{'' if r.doc_id is None else r.doc_id}" for c in TAKEN)
+
+
+def test_repeated_ids_with_different_texts(spark):
+    a, b = ("alpha beta gamma " * 30, "one two three four five " * 30)
+    rows = [(1, a), (1, b), (2, b), (3, b), (1, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first, again = ([tuple(r) for r in simhash.drop_near_duplicates(docs.repartition(n)).collect()] for n in (1, 5))
+    assert sorted(first) == sorted(again) == [(1, a), (1, b)]
