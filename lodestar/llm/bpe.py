@@ -39,9 +39,9 @@ from lodestar.llm.tokens import CUT, read_ranks
 from lodestar.sources.storage import ship_package
 
 #: Words per recursive query, and bytes of a word beyond which the heap is used.
-BATCH, LONG = 10_000, 64
+BATCH, LONG = 40_000, 64
 #: Words and space-free pieces that a worker remembers; characters handled together.
-REMEMBERED, TOGETHER = 400_000, 2_000_000
+REMEMBERED, TOGETHER = 400_000, 4_000_000
 
 ENCODE = """
 WITH RECURSIVE state AS (
@@ -62,8 +62,8 @@ WITH RECURSIVE state AS (
    WHERE r.before IS NULL OR r.before <> ((b.word << 20) | (b.pick & 1048575)))
 )
 SELECT (key >> 20)::INTEGER AS word, list(tok ORDER BY key) AS ids
-FROM (SELECT *, max(step) OVER (PARTITION BY key >> 20) AS last FROM state)
-WHERE step = last GROUP BY 1 ORDER BY 1
+FROM state JOIN (SELECT key >> 20 AS done, max(step) AS last FROM state GROUP BY 1) ON done = key >> 20 AND last = step
+GROUP BY 1 ORDER BY 1
 """
 
 DECODE = """
