@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 PARTS = 16
 #: Bytes of a table that is sent whole to the tasks instead.
 LOOKUP_BYTES = 64 << 20
+#: Rows of one key that a task may meet before they are dealt.
+BUSY = 1_000_000
 
 
 def spread_join(
@@ -25,6 +27,25 @@ def spread_join(
     return left.join(right, [*on, "_part"], how).drop("_part")
 
 
+def counted_join(
+    many: DataFrame, one: DataFrame, on: Sequence[str], deal: Column, rows: str, how: str = "left", busy: int = BUSY
+) -> DataFrame:
+    """Join with a stored table of one row per key whose column ``rows`` counts the rows of ``many`` with that key.
+
+    Only keys of more than ``busy`` rows, or of a thousandth of all if that is more, are copied, once
+    for every so many rows; all others meet in one place. The busy keys are sent to the tasks: there
+    are at most a thousand, by arithmetic. ``rows`` is not in the result.
+    """
+    total = one.agg(F.sum(rows)).scalar()
+    most = F.greatest(F.lit(busy), F.ceil(F.coalesce(total, F.lit(0)) / 1000))
+    sized = one.withColumn("_parts", F.greatest(F.ceil(F.col(rows) / most), F.lit(1)).cast("int")).drop(rows)
+    hot = sized.where(F.col("_parts") > 1).select(*on, "_parts")
+    part = F.pmod(F.xxhash64(deal), F.coalesce("_parts", F.lit(1))).cast("int")
+    left = many.join(F.broadcast(hot), list(on), "left").withColumn("_part", part).drop("_parts")
+    right = sized.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return left.join(right, [*on, "_part"], how).drop("_part")
+
+
 def lookup_join(
     many: DataFrame,
     one: DataFrame,

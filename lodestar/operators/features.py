@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from lodestar import constants as C
 from lodestar import schemas
 from lodestar.functions import events as E
-from lodestar.functions.joins import lookup_join, spread_join
 from lodestar.functions import hashing as H
 from lodestar.functions import vectors as V
+from lodestar.functions.joins import counted_join, lookup_join
+from lodestar.sources.storage import cut_lineage
 
 # ---- item counters -----------------------------------------------------------
 
@@ -352,21 +353,28 @@ def sequences_before(interactions: DataFrame, length: int = C.SEQUENCE_LENGTH) -
     return interactions.select("event_id", F.collect_list("item_id").over(before).alias("sequence"))
 
 
-def daily_ctr(interactions: DataFrame) -> DataFrame:
-    """(item_id, day, ctr): click rate of all events before the day, for the days after an item's first."""
+def ctr_before(interactions: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(item_id, day, ctr, n): click rate of all events before the day, for the (item_id, day) of ``asked``.
+
+    Without ``asked`` the days are the events' own; ``n`` counts the rows that
+    ask. Daily counts and asked days are merged in one order per item and the
+    running sums carried, so an item has a row per day that is asked or has events,
+    not one per day of the calendar. Pairs without an earlier impression are left out.
+    """
     kind = F.col("event_type")
     daily = interactions.groupBy("item_id", F.to_date("created_at").alias("day")).agg(
-        F.count_if(kind == "click").alias("clicks"), F.count_if(E.is_impression(kind)).alias("impressions")
-    )
-    last = interactions.agg(F.max(F.to_date("created_at"))).scalar()
-    order = Window.partitionBy("item_id").orderBy("day")
-    through = order.rowsBetween(Window.unboundedPreceding, 0)
-    ratio = E.safe_ratio(F.sum("clicks").over(through), F.sum("impressions").over(through))
-    spans = daily.withColumn("_last", last).select(
-        "item_id", ratio.alias("ctr"), F.col("day").alias("_from"), F.coalesce(F.lead("day").over(order), "_last").alias("_to")
+        F.count_if(kind == "click").alias("clicks"),
+        F.count_if(E.is_impression(kind)).alias("impressions"),
+        (F.count(F.lit(1)) if asked is None else F.lit(0).cast("bigint")).alias("n"),
     )
-    days = F.sequence(F.date_add("_from", 1), F.col("_to"))
-    return spans.filter("_to > _from").select("item_id", F.explode(days).alias("day"), "ctr")
+    if asked is not None:
+        none = F.lit(0).cast("bigint")
+        wanted = asked.groupBy("item_id", "day").agg(F.count(F.lit(1)).alias("n"))
+        daily = daily.unionByName(wanted.withColumns({"clicks": none, "impressions": none}))
+    earlier = Window.partitionBy("item_id").orderBy(F.unix_date("day")).rangeBetween(Window.unboundedPreceding, -1)
+    ratio = E.safe_ratio(F.sum("clicks").over(earlier), F.sum("impressions").over(earlier))
+    rated = daily.withColumn("ctr", F.when(F.sum("impressions").over(earlier) > 0, ratio))
+    return rated.where("n > 0 AND ctr IS NOT NULL").select("item_id", "day", "ctr", "n")
 
 
 def training_frame(interactions: DataFrame, items: DataFrame, users: DataFrame) -> DataFrame:
@@ -381,7 +389,8 @@ def training_frame(interactions: DataFrame, items: DataFrame, users: DataFrame)
         F.col("event_id"),
         row_bytes=16 << 10,  # vectors of up to 2,000 numbers
     ).withColumn("day", F.to_date("created_at"))
-    rated = spread_join(encoded, daily_ctr(interactions), ["item_id", "day"], F.col("event_id"), "left")
+    rates = cut_lineage(ctr_before(interactions))
+    rated = counted_join(encoded, rates, ["item_id", "day"], F.col("event_id"), "n")
     known = rated.join(users.select("user_id", F.col("embedding").alias("u")), "user_id", "left")
     return known.select(
         "event_id",

@@ -19,7 +19,7 @@ from lodestar import constants as C
 from lodestar.functions import events as E
 from lodestar.functions import hashing as H
 from lodestar.functions import vectors as V
-from lodestar.functions.joins import lookup_join, spread_join
+from lodestar.functions.joins import counted_join, lookup_join, spread_join
 from lodestar.functions.numbering import global_row_number, hash_positions
 from lodestar.operators import features
 from lodestar.operators.retrieval import vector_topk
@@ -123,6 +123,7 @@ def training_examples(
     rows = positives.select("event_id", "user_id", F.lit(0).alias("j"), "item_id").unionByName(
         negatives.select("event_id", "user_id", "j", "item_id")
     )
+    rows = cut_lineage(rows)
     context = positives.select(
         "event_id",
         "created_at",
@@ -137,9 +138,9 @@ def training_examples(
     )
     # Examples of an event stay together; busy items are dealt over several tasks.
     described = lookup_join(rows.join(context, "event_id"), attributes, ["item_id"], F.struct("event_id", "j"))
-    rated = spread_join(
-        described, features.daily_ctr(interactions), ["item_id", "day"], F.struct("event_id", "j"), "left"
-    )
+    days = positives.select("event_id", F.to_date("created_at").alias("day"))
+    rates = cut_lineage(features.ctr_before(interactions, rows.join(days, "event_id")))
+    rated = counted_join(described, rates, ["item_id", "day"], F.struct("event_id", "j"), "n")
     return rated.select(
         "event_id",
         "j",
