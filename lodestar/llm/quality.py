@@ -12,6 +12,7 @@ boilerplate; a document stays when content lines hold enough of its words.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,12 +31,14 @@ SPACES = " \t\n\v\f\r"
 
 #: Share of the words that content lines must hold.
 MIN_CONTENT = 0.5
-#: Labelled documents per class used to fit the chain, and their longest text.
+#: Labelled documents per class used to fit the chain.
 SAMPLE_PER_CLASS = 600
-SAMPLE_CHARS = 20_000
-#: Lines of a sampled document that the fit looks at.
+#: Neighbouring lines of a sampled document that the fit looks at; they begin anywhere in it.
 FIT_LINES = 40
 
+#: Features of a line.
+FEATURES = 10
+
 CONTENT, BOILERPLATE = 0, 1
 _LOWER, _UPPER, _DIGIT, _SYMBOL, _BAR, _MARK, _SPACE, _OTHER = range(8)
 
@@ -195,14 +198,28 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def fit_chain(texts: list[str], good: list[bool], steps: int = 120, rate: float = 0.05) -> LineModel | None:
-    """Maximum-likelihood chain from documents whose lines carry the document's label.
+def fit_block(text: str) -> np.ndarray:
+    """Features of at most FIT_LINES neighbouring lines, from a place that the text's checksum draws."""
+    features, _ = line_features(text)
+    spare = len(features) - FIT_LINES
+    first = zlib.crc32(text.encode()) % (spare + 1) if spare > 0 else 0
+    return features[first : first + FIT_LINES]
+
+
+def fit_chain(texts: list[str], good: list[bool]) -> LineModel | None:
+    """The chain of texts whose lines carry the document's label."""
+    return fit_blocks([fit_block(t) for t in texts], good)
+
+
+def fit_blocks(
+    blocks: list[np.ndarray], good: list[bool], steps: int = 120, rate: float = 0.05
+) -> LineModel | None:
+    """Maximum-likelihood chain from blocks of lines that carry their document's label.
 
     Gradients come from forward-backward over padded batches; Adam steps on all
     rows, so the result depends on the sample alone.
     """
-    rows = [(line_features(t)[0], g) for t, g in zip(texts, good)]
-    rows = [(f[:FIT_LINES], g) for f, g in rows if len(f)]
+    rows = [(f, g) for f, g in zip(blocks, good) if len(f)]
     if len({g for _, g in rows}) < 2:
         return None
     every = np.concatenate([f for f, _ in rows])
@@ -255,11 +272,14 @@ def fit_chain(texts: list[str], good: list[bool], steps: int = 120, rate: float
     return LineModel(w, t, s, mean, scale)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> list[tuple[str, bool]]:
-    """Texts and labels of at most ``per_class`` documents of each class, by hash of the id.
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS
+) -> list[tuple[np.ndarray, bool]]:
+    """Line blocks and labels of at most ``per_class`` documents of each class, by hash of the id.
 
-    Ids are drawn from the labels first; the few of them are then looked up, so
-    that texts are not shuffled.
+    Ids are drawn from the labels first; the few of them are then looked up.
+    Texts of any length take part: tasks make the blocks, so texts are neither
+    shuffled nor sent to the driver. Of a repeated id the block of least bytes counts.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -273,21 +293,30 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_
         return []
     # At most 2 x per_class ids.
     wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], "_id bigint")
+    ship_package(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = [fit_block(t).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blocks, pa.binary())], ["doc_id", "block"])
+
     rows = (
-        docs.select("doc_id", "text")
-        .where(F.length("text") <= SAMPLE_CHARS)
+        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+        .where(F.col("text").isNotNull())
         .join(F.broadcast(wanted), F.col("doc_id") == F.col("_id"), "left_semi")
+        .mapInArrow(run, "doc_id bigint, block binary")
         .groupBy("doc_id")
-        .agg(F.min("text").alias("text"))
+        .agg(F.min("block").alias("block"))
         .collect()
     )
-    return [(r["text"], ids[r["doc_id"]]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+    found = sorted((r["doc_id"], bytes(r["block"])) for r in rows)
+    return [(np.frombuffer(block).reshape(-1, FEATURES), ids[i]) for i, block in found]
 
 
 def train_line_model(docs: DataFrame, labels: DataFrame) -> LineModel | None:
     """The chain fitted to a bounded sample of labelled documents."""
     sample = labelled_sample(docs, labels)
-    return fit_chain([t for t, _ in sample], [g for _, g in sample])
+    return fit_blocks([b for b, _ in sample], [g for _, g in sample])
 
 
 REPORT = pa.schema(
