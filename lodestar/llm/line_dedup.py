@@ -6,8 +6,8 @@ occurrence of a line whose ratio exceeds the limit is dropped.
 
 * A line without a word (only space or control characters) is never dropped.
 * A null host is a host of its own; a null text has no lines and stays null.
-* Hosts with fewer than ``min_pages`` pages give no evidence: nothing is
-  dropped there, and a line must stand on ``min_pages`` pages at least.
+* A line must stand on ``min_pages`` pages, two as a rule: one page is no evidence of
+  repetition, whatever its share of a small host.
 * Repeated rows are pages of their own. Rows are never dropped, only lines.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Share of a host's pages above which a line is boilerplate.
 BOILERPLATE_RATIO = 0.1
 #: Pages that must hold a line before it can be boilerplate.
-MIN_PAGES = 4
+MIN_PAGES = 2
 #: A host above 1/HOT_SHARE of all pages is split; there are at most HOT_SHARE such hosts.
 HOT_SHARE = 1000
 #: Parts into which the rows of a split host are dealt for the join.
