@@ -6,9 +6,13 @@ transitions, trained in numpy from labelled spans, adds spans that the patterns
 miss (other separators, no plus sign, a spelled at-sign, ...).
 
 The tagger reads windows of WINDOW characters every STRIDE; each is decoded by
-Viterbi. Reconciliation is global: a character takes its label from the window
-in whose middle it lies, spans are read off the whole text's label sequence,
-and a model span that meets a base span gives way.
+Viterbi. Reconciliation is global: a character belongs to the window in whose
+middle it lies. Windows whose common seams carry labels form a chain. Where two
+of them disagree about a seam, all windows of the chain give the log-scores of
+their own characters and the chain is decoded again as one sequence, so the
+transitions hold over the whole text; seams that both sides see alike hold them
+already. Spans are read off the text's label sequence, and a model span that
+meets a base span gives way.
 
 A span must hold a trigger: a digit, ``@``, or the word ``at`` between other
 characters than letters, as in ``(at)``, ``[at]`` and `` at ``. Windows that own a
@@ -48,6 +52,8 @@ _TRIGGER = re.compile(r"[0-9@]")
 _HELD = re.compile(r"[0-9@]|(?<![A-Za-z])[Aa][Tt](?![A-Za-z])")
 
 WINDOW, STRIDE = 128, 64
+#: Places in a window before and after its left and right seams.
+_SEAMS = [STRIDE // 2 - 1, STRIDE // 2, STRIDE // 2 + STRIDE - 1, STRIDE // 2 + STRIDE]
 HIDDEN, EMBEDDED = 16, 12
 #: Bounded sample for training: documents, their longest text, windows and steps.
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 20_000
@@ -149,6 +155,10 @@ class Tagger:
     def _decode(self, codes: np.ndarray) -> np.ndarray:
         e = self.emissions(codes)
         e[codes == 0, 1:] = _NEVER
+        return self.best_path(e)
+
+    def best_path(self, e: np.ndarray) -> np.ndarray:
+        """Viterbi labels of every row of log-scores (n, t, labels); a row begins outside of spans."""
         n, t, _ = e.shape
         trans = self.params["trans"] + allowed_transitions()
         score = e[:, 0] + allowed_transitions()[0]
@@ -424,6 +434,7 @@ def add_spans(
             windows.extend((i, k) for k in sorted(owners))
     out = [list(spans) for spans in base]
     marked: dict[int, np.ndarray] = {}
+    seen: dict[int, np.ndarray] = {}
     known = set(windows)
     while windows:
         reached: set[tuple[int, int]] = set()
@@ -439,8 +450,9 @@ def add_spans(
                 text = texts[i]
                 if i not in marked:
                     marked[i] = np.zeros(len(text), dtype=np.int8)
-                low = 0 if k == 0 else k * STRIDE + STRIDE // 2
-                high = len(text) if k == last[i] else k * STRIDE + STRIDE // 2 + STRIDE
+                    seen[i] = np.zeros((last[i] + 1, len(_SEAMS)), dtype=np.int8)
+                seen[i][k] = labels[_SEAMS]
+                low, high = _own(text, k, last[i])
                 own = labels[low - k * STRIDE : high - k * STRIDE]
                 marked[i][low:high] = own
                 # A run at an edge may go on in the neighbour.
@@ -450,6 +462,7 @@ def add_spans(
                     reached.add((i, k + 1))
         windows = sorted(reached - known)
         known.update(windows)
+    _rejoin(texts, marked, seen, last, model)
     for i, labels in marked.items():
         taken = base[i]
         for kind, start, end in _runs(labels):
@@ -463,8 +476,59 @@ def add_spans(
     return out
 
 
+def _own(text: str, k: int, last: int) -> tuple[int, int]:
+    """The characters that belong to window k of a text whose windows end with ``last``."""
+    return (0 if k == 0 else k * STRIDE + STRIDE // 2), (
+        len(text) if k == last else k * STRIDE + STRIDE // 2 + STRIDE
+    )
+
+
+def _rejoin(
+    texts: list[str],
+    marked: dict[int, np.ndarray],
+    seen: dict[int, np.ndarray],
+    last: list[int],
+    model: Tagger,
+) -> None:
+    """Decode as one sequence every chain of windows with labelled seams and a seam that two windows see differently.
+
+    ``seen`` holds the labels that each window gives to the characters at both of its seams.
+    """
+    chains: list[tuple[int, int, int]] = []  # text, first and last window
+    for i, labels in marked.items():
+        seams = np.arange(last[i]) * STRIDE + STRIDE // 2 + STRIDE  # of windows k and k + 1
+        for k in np.flatnonzero((labels[seams - 1] > 0) | (labels[seams] > 0)).tolist():
+            if chains and chains[-1][0] == i and chains[-1][2] == k:
+                chains[-1] = (i, chains[-1][1], k + 1)
+            else:
+                chains.append((i, k, k + 1))
+    differ = {i: (v[:-1, 2:] != v[1:, :2]).any(1) for i, v in seen.items()}
+    chains = [c for c in chains if differ[c[0]][c[1] : c[2]].any()]
+    chains.sort(key=lambda c: c[2] - c[1])  # like lengths together
+    at = 0
+    while at < len(chains):
+        part = chains[at : at + 256]
+        part = part[: max(1, 1024 // (part[-1][2] - part[-1][1] + 1))]
+        at += len(part)
+        spans = [(_own(texts[i], a, last[i])[0], _own(texts[i], b, last[i])[1]) for i, a, b in part]
+        scores = np.zeros((len(part), max(high - low for low, high in spans), LABELS))
+        scores[:, :, 1:] = _NEVER  # padding stays outside
+        windows = [(row, i, k) for row, (i, a, b) in enumerate(part) for k in range(a, b + 1)]
+        for first in range(0, len(windows), 256):
+            some = windows[first : first + 256]
+            codes = np.zeros((len(some), WINDOW), dtype=np.int64)
+            for j, (_, i, k) in enumerate(some):
+                found = char_codes(texts[i][k * STRIDE : k * STRIDE + WINDOW])
+                codes[j, : len(found)] = found
+            for (row, i, k), e in zip(some, model.emissions(codes)):
+                low, high = _own(texts[i], k, last[i])
+                scores[row, low - spans[row][0] : high - spans[row][0]] = e[low - k * STRIDE : high - k * STRIDE]
+        for (i, _, _), (low, high), path in zip(part, spans, model.best_path(scores)):
+            marked[i][low:high] = path[: high - low]
+
+
 def _runs(labels: np.ndarray) -> list[Span]:
-    """Spans of a label sequence: same kind, no begin inside; a missing begin is forgiven."""
+    """Spans of a label sequence: same kind, no begin inside."""
     spans: list[Span] = []
     for at in np.flatnonzero(labels):
         label = int(labels[at])
