@@ -7,7 +7,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -77,52 +77,61 @@ def rate_limit_decisions(
     )
 
 
+#: Groups that keys are dealt over. A restarted query finds its state by group, so their number is fixed.
+GROUPS = 512
+
+
+def _group(key: str) -> Column:
+    """The group of a key; null has one of its own."""
+    return F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(GROUPS))).cast("int").alias("group")
+
+
 def expiring_values(
     log: DataFrame, key: str, value: str, ttl_seconds: int, delay: str = LATENESS
 ) -> DataFrame:
     """Update stream of the newest ``value`` per ``key``; it goes ``ttl_seconds`` after it was written.
 
-    Nothing deletes a value: its state has a timeout of its own at the time it was
+    Nothing deletes a value: every value has a timeout of its own at the time it was
     written plus the TTL. When the watermark, the stream's clock, is past it, the
     key gets a row with null ``value`` and ``written_us``, which replaces the value
     for readers of the newest version. Of values of one moment the largest counts.
+    Keys share the state of their group, so a call of Python serves many of them.
     """
     ttl_us = ttl_seconds * 1_000_000
     kind = log.schema[value].dataType.simpleString()
     key_kind = log.schema[key].dataType.simpleString()
 
-    def row(own: tuple[Any, ...], found: Any, at: int | None) -> pd.DataFrame:
-        return pd.DataFrame({key: [own[0]], value: [found], "written_us": pd.array([at], dtype="Int64")})
-
-    def keep(own: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    def keep(group: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs()
+        held = {own: (at, found) for own, found, at in zip(*state.get)} if state.exists else {}
+        told: dict[Any, tuple] = {}
+        for frame in () if state.hasTimedOut else frames:
+            last = frame.sort_values(["written_us", value]).drop_duplicates(key, keep="last")
+            keys = [None] * len(last) if group[0] < 0 else last[key].tolist()
+            for own, found, at in zip(keys, last[value].tolist(), last["written_us"].tolist()):
+                told[own] = held[own] = max(held[own], (at, found)) if own in held else (at, found)
+        # Some had expired before they came.
+        for own in [own for own, (at, _) in held.items() if (at + ttl_us) // 1000 < mark]:
+            del held[own]
+            told[own] = None, None
+        if held:
+            times, values = zip(*held.values())
+            state.update((list(held), list(values), list(times)))
+            state.setTimeoutTimestamp(max((min(times) + ttl_us) // 1000, mark) + 1)
+        elif state.exists:
             state.remove()
-            yield row(own, None, None)
-            return
-        at, found = (state.get[1], state.get[0]) if state.exists else (None, None)
-        for frame in frames:
-            last = frame.sort_values(["written_us", value]).iloc[-1]
-            newer = int(last["written_us"]), last[value]
-            if at is None or newer > (at, found):
-                at, found = newer[0], newer[1].item() if isinstance(newer[1], np.generic) else newer[1]
-        expiry = (at + ttl_us) // 1000
-        if expiry < state.getCurrentWatermarkMs():
-            # It had expired before it came.
-            if state.exists:
-                state.remove()
-            yield row(own, None, None)
-            return
-        state.update((found, at))
-        state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        yield row(own, found, at)
+        if told:
+            columns = {key: list(told), value: [found for _, found in told.values()]}
+            made = pd.DataFrame({name: pd.Series(rows, dtype=object) for name, rows in columns.items()})
+            yield made.assign(written_us=pd.array([at for at, _ in told.values()], dtype="Int64"))
 
     timed = log.withWatermark("created_at", delay).select(
-        key, value, "created_at", F.unix_micros("created_at").alias("written_us")
+        _group(key), key, value, "created_at", F.unix_micros("created_at").alias("written_us")
     )
-    return timed.where(F.col(value).isNotNull()).groupBy(key).applyInPandasWithState(
+    return timed.where(F.col(value).isNotNull()).groupBy("group").applyInPandasWithState(
         keep,
         f"{key} {key_kind}, {value} {kind}, written_us bigint",
-        f"found {kind}, at bigint",
+        f"keys array<{key_kind}>, found array<{kind}>, times array<bigint>",
         "update",
         GroupStateTimeout.EventTimeTimeout,
     )
@@ -138,35 +147,47 @@ def deliveries(events: DataFrame, ttl_seconds: int = C.DEDUPE_TTL_SECONDS, delay
     repeated deliveries are both emitted. The state of an id is the time of its
     last accepted delivery and goes a TTL after it. Deliveries of a batch pass in
     order of time; simultaneous copies are one accepted delivery and repeats.
+    Ids share the state of their group, so a call of Python serves many of them.
     """
     ttl_us = ttl_seconds * 1_000_000
 
-    def judge(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    def judge(group: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs()
+        lasts = dict(zip(*state.get)) if state.exists else {}
+        # The distinct times of an id in a batch are what has to be put in order.
+        counts = None
+        for frame in () if state.hasTimedOut else frames:
+            if group[0] < 0:
+                frame = frame.assign(event_id=0)
+            more = frame.groupby(["event_id", "created_us"]).size()
+            counts = more if counts is None else pd.concat([counts, more]).groupby(level=[0, 1]).sum()
+        if counts is not None and len(counts):
+            counts = counts.sort_index()
+            ids, times = (counts.index.get_level_values(level).to_numpy(np.int64) for level in (0, 1))
+            fresh = np.zeros(len(ids), dtype=bool)
+            for i, (own, at) in enumerate(zip(ids.tolist(), times.tolist())):
+                last = lasts.get(own)
+                if last is None or at - last >= ttl_us:
+                    lasts[own] = at
+                    fresh[i] = True
+            sizes = counts.to_numpy()
+            repeated = np.ones(sizes.sum(), dtype=bool)
+            repeated[np.cumsum(sizes) - sizes] = ~fresh
+            made = pd.DataFrame({"event_id": np.repeat(ids, sizes), "created_us": np.repeat(times, sizes), "repeated": repeated})
+            yield made.assign(event_id=None) if group[0] < 0 else made
+        # Rows that could meet an older time are later than the watermark.
+        held = {own: last for own, last in lasts.items() if (last + ttl_us) // 1000 + 1 >= mark}
+        if held:
+            state.update((list(held), list(held.values())))
+            state.setTimeoutTimestamp(max((min(held.values()) + ttl_us) // 1000, mark) + 1)
+        elif state.exists:
             state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        # The distinct times of one id in a batch are what has to be put in order.
-        counts: dict[int, int] = {}
-        for frame in frames:
-            for at, n in frame["created_us"].value_counts().items():
-                counts[int(at)] = counts.get(int(at), 0) + int(n)
-        times, repeated = [], []
-        for at in sorted(counts):
-            fresh = last is None or at - last >= ttl_us
-            if fresh:
-                last = at
-            times.extend([at] * counts[at])
-            repeated.extend([not fresh] + [True] * (counts[at] - 1))
-        state.update((last,))
-        state.setTimeoutTimestamp(max((last + ttl_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"event_id": key[0], "created_us": times, "repeated": np.array(repeated, dtype=bool)})
 
     timed = events.withWatermark("created_at", delay).select(
-        "event_id", "created_at", F.unix_micros("created_at").alias("created_us")
+        _group("event_id"), "event_id", "created_at", F.unix_micros("created_at").alias("created_us")
     )
-    return timed.groupBy("event_id").applyInPandasWithState(
-        judge, DELIVERIES, "last bigint", "append", GroupStateTimeout.EventTimeTimeout
+    return timed.groupBy("group").applyInPandasWithState(
+        judge, DELIVERIES, "ids array<bigint>, lasts array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

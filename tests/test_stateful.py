@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +153,31 @@ def test_empty_ledger(spark):
     ledger = Ledger(spark, new_path(spark, "none"))
     assert ledger.entries() == [] and ledger.last_batch() == -1 and ledger.read("x int").count() == 0
     ledger.compact(lambda rows: rows.drop("batch"), "x int")
+
+
+def test_many_keys_share_a_call_of_python(spark):
+    # One delivery of many keys, null among them, then one that expires all but the last.
+    n, hour = 20_000, 3600
+    rows = [(i, f"v{i}", i % 60) for i in range(n)] + [(None, "none", 5), (None, "nil", 3)]
+    columns = "k bigint, v string"
+    ledger = Ledger(spark, new_path(spark, "many"))
+    source = stream(spark, [rows, [(n, "last", 9 * hour)]], columns)
+    started = time.monotonic()
+    ledger.run(stateful.expiring_values(source, "k", "v", 2 * hour, "0 seconds"), mode="update")
+    assert time.monotonic() - started < 40  # a call per key took over a minute
+    found = ledger.read("k bigint, v string, written_us bigint")
+    assert found.where("batch = 0 AND v IS NOT NULL").count() == n + 1
+    assert [r.v for r in found.where("batch = 0 AND k IS NULL").collect()] == ["none"]
+    current = ledger.newest("k bigint, v string, written_us bigint", ["k"])
+    assert [(r.k, r.v) for r in current.where("v IS NOT NULL").collect()] == [(n, "last")]
+
+    ledger = Ledger(spark, new_path(spark, "many"))
+    rows = [(i, 10) for i in range(n)] + [(i, 20) for i in range(0, n, 2)] + [(None, 1), (None, 1), (None, 2)]
+    again = [(i, 2 * hour) for i in range(0, n, 5)]
+    started = time.monotonic()
+    ledger.run(stateful.deliveries(stream(spark, [rows, again], "event_id bigint"), hour, "0 seconds"))
+    assert time.monotonic() - started < 40
+    told = ledger.read(stateful.DELIVERIES)
+    assert told.count() == len(rows) + len(again)
+    assert told.where("repeated").count() == n // 2 + 2
+    assert sorted((r.created_us % 10**7 // 10**6, r.repeated) for r in told.where("event_id IS NULL").collect()) == [(1, False), (1, True), (2, True)]
