@@ -1,5 +1,7 @@
 """Distributed paths against brute force, invariants and plan shapes."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -222,3 +224,52 @@ def test_assignment_precedence(spark, t):
     assert rows[2, "ranker_v2"].bucket == 7
     again = {r.user_id: r for r in X.assign(requests, t.experiments, stale, now()).collect() if r.user_id == 2}
     assert again[2].bucket != 7
+
+
+def test_grid_keeps_one_list_of_a_query_block(spark, t):
+    # Item blocks far beyond the list: rows that leave the products are k a query and column, not k a pair of blocks.
+    q, queries = vectors(spark, 300, 8, "user_id", 1)
+    i, items = vectors(spark, 40_000, 8, "item_id", 2)
+    twice = items.unionAll(items.where("item_id < 50"))
+    found = retrieval.vector_topk(queries, items.repartition(3), 5, unit=False, broadcast_bytes=0)
+    assert {(r.user_id, r.item_id) for r in found.collect()} == brute_force(q, i, 5)
+    small = retrieval.vector_topk(queries.where("user_id < 9"), twice, 5, unit=False, broadcast_bytes=0)
+    known = retrieval.vector_topk(queries.where("user_id < 9"), twice, 5, unit=False)
+    assert sorted((r.user_id, r.item_id) for r in small.collect()) == sorted((r.user_id, r.item_id) for r in known.collect())
+
+    lists = retrieval._Running(np.arange(300), q.ravel(), None, 5)
+    for start in range(0, 40_000, 4096):
+        part = slice(start, start + 4096)
+        lists.meet(np.arange(40_000)[part], i[part].ravel())
+    rows = [frame for frame in lists.rows()]
+    assert sum(map(len, rows)) == 300 * 5
+    assert {(u, x) for f in rows for u, x in zip(f["q"], f["i"])} == brute_force(q, i, 5)
+
+
+def test_busy_ids_are_not_copied_through_the_driver(spark, t):
+    pairs = spark.range(200).select((F.col("id") % 20).alias("user_id"), (F.col("id") % 13).alias("item_id"), F.lit(1).alias("n"))
+    users = spark.range(20).select(F.col("id").alias("user_id"), F.col("id").alias("user"))
+    items = spark.range(13).select(F.col("id").alias("item_id"), F.col("id").alias("item"))
+    ratings = training._ratings(pairs, users, items)
+    assert "BroadcastHashJoin" not in plan_of(ratings) and ratings.count() == 200
+
+
+def test_candidates_are_shuffled_by_user_once(spark, t):
+    found = spark.createDataFrame([(u, i, 0.5) for u in range(3) for i in range(4)], "user_id long, item_id long, score double")
+    listed = spark.createDataFrame([(3, 1), (9, 2), (None, 3)], "item_id long, position int")
+    users = spark.range(4).select(F.col("id").alias("user_id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        union = retrieval.candidate_union(found, users, listed, listed)
+        ranked = ranking.rerank_adjust(
+            ranking.seen_flags(union.withColumn("created_at", now()), found.where("item_id = 1")), now()
+        )
+        # By user: the candidates once, the seen lists once.
+        plan = plan_of(ranked)
+        assert plan.count("Exchange hashpartitioning(user_id") == 2 and "hashpartitioning(user_id#" in plan
+        assert not re.search(r"hashpartitioning\(user_id#\d+L?, item_id", plan)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rows = {(r.user_id, r.item_id): (r.source, r.seen) for r in ranked.collect()}
+    assert rows[0, 1] == (0, True) and rows[0, 3] == (0, False) and rows[3, 9] == (1, False)
+    assert len(rows) == 3 * 5 + 2
