@@ -246,12 +246,20 @@ def test_grid_keeps_one_list_of_a_query_block(spark, t):
     assert {(u, x) for f in rows for u, x in zip(f["q"], f["i"])} == brute_force(q, i, 5)
 
 
-def test_busy_ids_are_not_copied_through_the_driver(spark, t):
-    pairs = spark.range(200).select((F.col("id") % 20).alias("user_id"), (F.col("id") % 13).alias("item_id"), F.lit(1).alias("n"))
-    users = spark.range(20).select(F.col("id").alias("user_id"), F.col("id").alias("user"))
-    items = spark.range(13).select(F.col("id").alias("item_id"), F.col("id").alias("item"))
-    ratings = training._ratings(pairs, users, items)
-    assert "BroadcastHashJoin" not in plan_of(ratings) and ratings.count() == 200
+def test_stored_ids_are_not_copied_through_the_driver(spark, t, monkeypatch):
+    made, ratings = [], training._ratings
+    monkeypatch.setattr(training, "_ratings", lambda *given: made.append(ratings(*given)) or made[-1])
+    pairs = spark.createDataFrame([(i % 20, i % 13, 1) for i in range(200)], "user_id long, item_id long, n long")
+    users, items = training.cf_als(pairs, rank=2, iterations=1)
+    assert (users.count(), items.count()) == (20, 13)
+    assert "BroadcastHashJoin" not in plan_of(made[0]) and made[0].count() == 200
+
+
+def test_als_blocks_grow_with_the_ratings(spark, t, monkeypatch):
+    ratings, als = spark.range(1000), training.ALS()
+    assert set(training._blocks(als, ratings).values()) == {training.FEW_BLOCKS}
+    monkeypatch.setattr(training, "BLOCK_RATINGS", 200)
+    assert set(training._blocks(als, ratings).values()) == {min(5, spark.sparkContext.defaultParallelism)}
 
 
 def test_candidates_are_shuffled_by_user_once(spark, t):
