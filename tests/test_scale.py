@@ -281,3 +281,47 @@ def test_candidates_are_shuffled_by_user_once(spark, t):
     rows = {(r.user_id, r.item_id): (r.source, r.seen) for r in ranked.collect()}
     assert rows[0, 1] == (0, True) and rows[0, 3] == (0, False) and rows[3, 9] == (1, False)
     assert len(rows) == 3 * 5 + 2
+
+
+def test_lists_of_a_group_are_not_shuffled(spark, t, monkeypatch):
+    # Small groups, so every item block goes to several; a query's list is whole when it leaves its task.
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 16)
+    q, queries = vectors(spark, 130, 8, "user_id", 1)
+    i, items = vectors(spark, 500, 8, "item_id", 2)
+    found = retrieval.vector_topk(queries, items, 7, unit=False, broadcast_bytes=0)
+    assert "Window" not in plan_of(found)
+    rows = found.collect()
+    assert {(r.user_id, r.item_id) for r in rows} == brute_force(q, i, 7) and len(rows) == 7 * 130
+    assert {(r.user_id, r["rank"]) for r in rows} == {(u, n) for u in range(130) for n in range(1, 8)}
+
+    parted = [df.withColumn("half", F.col(key) % 2) for df, key in ((queries, "user_id"), (items, "item_id"))]
+    skipped = parted[0].withColumn("skip", F.when(F.col("user_id") > 9, F.sequence(F.lit(0), F.lit(399))))
+    lists = [
+        retrieval.vector_topk(skipped, parted[1], 7, by="half", unit=False, skip="skip", broadcast_bytes=most).collect()
+        for most in (1 << 30, 0)
+    ]
+    assert len({tuple(sorted((r.user_id, r["rank"], r.item_id, r.score) for r in rows)) for rows in lists}) == 1
+    assert len(lists[0]) == 7 * 130
+
+
+def test_lsh_sends_a_vector_once(spark, t):
+    # A query's best 4 of every cell that it visits, from whole vectors that are not repeated per cell.
+    q, queries = vectors(spark, 50, 8, "user_id", 1)
+    i, items = vectors(spark, 300, 8, "item_id", 2)
+    twice = items.unionAll(items.where("item_id < 30"))
+    near = retrieval.vector_topk_lsh(queries, twice, 4, dim=8, bits=3, tables=3, probes=1)
+    assert "explode(cells" not in plan_of(near)
+    unit = [m / np.linalg.norm(m, axis=1, keepdims=True) for m in (q, i)]
+    scores = np.rint(unit[0] @ unit[1].T * 1e6).astype(int)
+    planes, powers, expected = retrieval._planes(8, 3, 3, 7), 1 << np.arange(3), set()
+    ids = [*range(300), *range(30)]
+    for u in range(50):
+        found = set()
+        for plane in planes:
+            margin = q[u] @ plane.T
+            own = int((margin > 0) @ powers)
+            for cell in (own, own ^ int(powers[np.argmin(abs(margin))])):
+                inside = [x for x in ids if int((i[x] @ plane.T > 0) @ powers) == cell]
+                found |= set(sorted(inside, key=lambda x: (-scores[u, x], x))[:4])
+        expected |= {(u, x) for x in sorted(found, key=lambda x: (-scores[u, x], x))[:4]}
+    assert {(r.user_id, r.item_id) for r in near.collect()} == expected
