@@ -325,3 +325,18 @@ def test_lsh_sends_a_vector_once(spark, t):
                 found |= set(sorted(inside, key=lambda x: (-scores[u, x], x))[:4])
         expected |= {(u, x) for x in sorted(found, key=lambda x: (-scores[u, x], x))[:4]}
     assert {(r.user_id, r.item_id) for r in near.collect()} == expected
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 30, 0])
+def test_items_keep_their_number_type(spark, t, broadcast_bytes):
+    # Workers hold item vectors as stored, half the bytes of doubles; products are made of doubles.
+    import pandas as pd
+
+    known = pd.DataFrame({"id": [2, 1], "v": [[1.0, 2.0], [3.0, 4.0]], "part": [0, 0]})
+    ids, matrix = retrieval._parts(known, "float32")[0]
+    assert list(ids) == [1, 2] and matrix.dtype == np.float32
+    q, queries = vectors(spark, 40, 8, "user_id", 1)
+    i, items = vectors(spark, 200, 8, "item_id", 2)
+    narrow = items.withColumn("embedding", F.col("embedding").cast("array<float>"))
+    found = retrieval.vector_topk(queries, narrow, 7, unit=False, broadcast_bytes=broadcast_bytes)
+    assert {(r.user_id, r.item_id) for r in found.collect()} == brute_force(q, i.astype(np.float32).astype(float), 7)
