@@ -340,3 +340,51 @@ def test_items_keep_their_number_type(spark, t, broadcast_bytes):
     narrow = items.withColumn("embedding", F.col("embedding").cast("array<float>"))
     found = retrieval.vector_topk(queries, narrow, 7, unit=False, broadcast_bytes=broadcast_bytes)
     assert {(r.user_id, r.item_id) for r in found.collect()} == brute_force(q, i.astype(np.float32).astype(float), 7)
+
+
+@pytest.mark.parametrize("size", [1.0, 3e3, 1e-4, 1e20])
+def test_rough_products_lose_no_item(monkeypatch, size):
+    # Long vectors, whose float products are off by many steps of a score, tied and numberless ones among them.
+    rng = np.random.default_rng(4)
+    q, i = rng.normal(size=(300, 8)) * size, rng.normal(size=(9000, 8))
+    i[5000:5040] = i[7]
+    i[8000:] = i[6000:7000] * (1 + 1e-12)
+    i[100] = np.nan
+    skips = [np.arange(20, 20 + u % 50) for u in range(300)]
+    monkeypatch.setattr(retrieval._Running, "_cut", counted := _counting(retrieval._Running._cut))
+    lists = retrieval._Running(np.arange(300), q.ravel(), skips, 30)
+    for start in range(0, 9000, 1500):
+        lists.meet(np.arange(9000)[start : start + 1500], i[start : start + 1500].ravel())
+    frames = [f for f in lists.rows()]
+    got = {(u, x): (s, r) for f in frames for u, x, s, r in zip(f["q"], f["i"], f["score"], f["rank"])}
+    assert len(got) == 300 * 30
+    products = np.rint(q @ i.T * retrieval.SCORE_SCALE)
+    for u in range(0, 300, 7):
+        products[u, skips[u]] = np.nan
+        # Scores of rounded products may differ by a step where those are made one by one.
+        best = np.sort(products[u][~np.isnan(products[u])])[::-1][:30]
+        own = np.sort([s for (v, _), (s, _) in got.items() if v == u])[::-1] * retrieval.SCORE_SCALE
+        assert np.allclose(own, best, rtol=1e-12, atol=1.01) and not {x for v, x in got if v == u} & {100, *skips[u]}
+    assert counted.calls <= 3 * len(lists.parts)
+
+
+def _counting(method):
+    def counted(*given):
+        counted.calls += 1
+        return method(*given)
+
+    counted.calls = 0
+    return counted
+
+
+def test_exact_products_are_made_of_few_pairs(monkeypatch):
+    rng = np.random.default_rng(5)
+    q, i = rng.normal(size=(256, 16)), rng.normal(size=(60_000, 16))
+    lists = retrieval._Running(np.arange(256), q.ravel(), None, 10)
+    made, einsum = [], np.einsum
+    monkeypatch.setattr(np, "einsum", lambda how, a, b: made.append(len(a)) or einsum(how, a, b))
+    for start in range(0, 60_000, 3000):
+        lists.meet(np.arange(60_000)[start : start + 3000], i[start : start + 3000].ravel())
+    # All blocks but the first are met as floats.
+    assert len(made) == 19 and sum(made) < 0.01 * 256 * 60_000
+    assert {(u, x) for f in lists.rows() for u, x in zip(f["q"], f["i"])} == brute_force(q, i, 10)
