@@ -62,3 +62,34 @@ def test_scorer_passes_other_columns(spark):
     scored = ranking.pluggable_score(df, lambda m: np.nan_to_num(m).sum(axis=1))
     assert [(r.user_id, r.note, r.score) for r in scored.orderBy("user_id").collect()] == [(1, "a", 3.5), (2, None, 1.5)]
     assert "MapInArrow" in scored._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packed_candidates_equal_rows_and_are_dealt_once(spark):
+    items = vectors(spark, 30, 6, "item_id", 3)
+    pairs = [(u, i, round(((u or 0) * 37 + i * 11) % 29 / 29, 6)) for u in [*range(12), None] for i in range((u or 0) % 3, 34)]
+    ranked = spark.createDataFrame([*pairs, pairs[5], (40, 3, 0.5)], "user_id long, item_id long, score double")
+    packed = ranking.pack_candidates(ranked)
+    assert packed.count() == 14
+    feeds = [ranking.mmr_rerank(c, items, 8) for c in (ranked, packed)]
+    assert sorted(map(repr, feeds[0].collect())) == sorted(map(repr, feeds[1].collect()))
+    assert sorted(map(repr, ranking.mmr_rerank(ranking.pack_candidates(ranked, 0.2), items, 8).collect())) == sorted(
+        map(repr, ranking.mmr_rerank(ranked, items, 8, 0.2).collect())
+    )
+    feed = feeds[0].filter("user_id != 4")
+    pools = [ranking.exploration_pool(c, feed).select("user_id", "item_id", "score") for c in (ranked, packed)]
+    assert sorted(map(repr, pools[0].collect())) == sorted(map(repr, pools[1].collect())) and pools[0].count() > 200
+    arms = spark.createDataFrame([(i, i % 5 / 5) for i in range(0, 34, 2)], "item_id long, mean_reward double")
+    served = [ranking.bandit_inject(feed, c, arms, 8, 0.3) for c in (ranked, packed)]
+    assert sorted(map(repr, served[0].collect())) == sorted(map(repr, served[1].collect()))
+
+
+def test_large_catalogues_are_looked_up_where_candidates_are(spark):
+    # More items than 64 MB of look-ups: candidates, a thousand a user, would be shuffled by item and by user again.
+    items = spark.range(600_000).select(F.col("id").alias("item_id"), F.lit("news").alias("category"), F.current_timestamp().alias("created_at"))
+    some = spark.createDataFrame([(1, 5, 0.5)], "user_id long, item_id long, score double")
+    affinity = spark.createDataFrame([(1, "news", 0.5)], "user_id long, category string, affinity double")
+    stats = spark.createDataFrame([(5, 0.25, 0.75)], "item_id long, ctr double, popularity double")
+    found = ranking.ranking_features(some, items, affinity, stats, stats, F.current_timestamp())
+    assert "_part" not in found._jdf.queryExecution().optimizedPlan().toString()
+    row = found.first()
+    assert (row.category, row.historical_ctr, row.popularity_score, row.user_item_category_affinity) == ("news", 0.25, 0.75, 0.5)
