@@ -93,3 +93,45 @@ def test_large_catalogues_are_looked_up_where_candidates_are(spark):
     assert "_part" not in found._jdf.queryExecution().optimizedPlan().toString()
     row = found.first()
     assert (row.category, row.historical_ctr, row.popularity_score, row.user_item_category_affinity) == ("news", 0.25, 0.75, 0.5)
+
+
+def test_feed_shuffles_lists_as_numbers(spark):
+    from lodestar.plans import feed
+
+    items = vectors(spark, 30, 6, "item_id", 3).withColumns({"category": F.lit("news"), "created_at": F.current_timestamp()})
+    profiles = vectors(spark, 5, 6, "user_id", 4).withColumns(
+        {"is_cold_start": F.lit(False), "affinity": F.create_map(F.lit("news"), F.lit(0.5)), "recent": F.array(F.lit(3).cast("long"))}
+    ).unionByName(spark.sql("SELECT 9L user_id, null embedding, true is_cold_start, null affinity, null recent"))
+    listed = spark.createDataFrame([(3, 1), (900, 2)], "item_id long, position int")
+    found = feed.packed_candidates(profiles, items, listed, listed, 7)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # Pairs are made after the lists have been dealt by user.
+    assert 0 <= plan.index("arrays_zip") < plan.index("Join LeftOuter") and "arrays_zip" not in plan[plan.index("Join LeftOuter") :]
+    rows = found.collect()
+    exact = retrieval.vector_topk(profiles, items, 7).collect()
+    known = {(r.user_id, r.item_id): r.score for r in exact}
+    expected = {(u, i): known.get((u, i), 0.0) for u, i in {*known, *((u, i) for u in (*range(5), 9) for i in (3, 900))}}
+    assert {(r.user_id, r.item_id): r.score for r in rows} == expected and len(rows) == len(expected)
+
+
+def test_feed_looks_a_million_items_up(spark, monkeypatch):
+    # Candidates of a feed carry their user's profile: they are not shuffled by item before a million items.
+    from lodestar.functions import joins
+    from lodestar.plans import feed
+    from lodestar.plans.ranking_queries import settings
+    from lodestar.sources.bindings import NOW, EXPERIMENTS
+
+    class Found(Exception):
+        pass
+
+    def asked(many, one, on, deal, how, row_bytes, most_bytes=joins.LOOKUP_BYTES, counted=None):
+        raise Found(most_bytes // row_bytes)
+
+    monkeypatch.setattr(feed, "lookup_join", asked)
+    items = vectors(spark, 4, 64, "item_id", 3).withColumns({"category": F.lit("news"), "created_at": F.lit(NOW).cast("timestamp_ntz")})
+    events = spark.sql(f"SELECT 1L event_id, 1L user_id, 2L item_id, 'click' event_type, timestamp_ntz'{NOW}' created_at, 5 dwell_ms")
+    users = spark.sql(f"SELECT 1L user_id, timestamp_ntz'{NOW}' created_at, array('news') onboarding_categories, '{{}}' metadata")
+    experiments = spark.createDataFrame(EXPERIMENTS, "name string, control_low int, control_high int, treatment_low int, treatment_high int, status string")
+    with pytest.raises(Found) as most:
+        feed.personalized_feed(events, items, users, experiments, F.lit(NOW).cast("timestamp_ntz"), settings())
+    assert most.value.args[0] >= 1_000_000
