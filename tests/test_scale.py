@@ -388,3 +388,16 @@ def test_exact_products_are_made_of_few_pairs(monkeypatch):
     # All blocks but the first are met as floats.
     assert len(made) == 19 and sum(made) < 0.01 * 256 * 60_000
     assert {(u, x) for f in lists.rows() for u, x in zip(f["q"], f["i"])} == brute_force(q, i, 10)
+
+
+@pytest.mark.parametrize("block, expected", [(10_000, (4, 2, "MEMORY_AND_DISK")), (25, (20, 1, "DISK_ONLY"))])
+def test_large_tunings_hold_one_model_and_small_blocks(spark, t, monkeypatch, block, expected):
+    # Blocks don't grow with the ratings beyond the cores, and two large models are not in memory at once.
+    made, search = [], training.TrainValidationSplit
+    monkeypatch.setattr(training, "TrainValidationSplit", lambda **given: made.append(given) or search(**given))
+    monkeypatch.setattr(training, "BLOCK_RATINGS", block)
+    pairs = spark.createDataFrame([(i % 50, i // 50, 1 + i % 3) for i in range(500)], "user_id long, item_id long, n long")
+    rows = training.tune_factorization(pairs, [2], [0.1], iterations=1).collect()
+    als = made[0]["estimator"]
+    assert len(rows) == 1 and rows[0].rmse > 0
+    assert (als.getNumUserBlocks(), made[0]["parallelism"], als.getIntermediateStorageLevel()) == expected
